@@ -1,0 +1 @@
+"""Incremental operators."""
