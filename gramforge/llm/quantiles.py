@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 PRECISION = 10
 LEVELS = 16  # codes are below 2**LEVELS: (63 - PRECISION + 1) * 2**PRECISION at most
 EXACT = 1 << 11  # levels with no more nodes than this have exact counters
-DEPTH, WIDTH = 7, 512
+DEPTH, WIDTH = 7, 1 << 10
 MAX_GROUPS = 256
 BUNDLE = 500_000
 
@@ -88,7 +88,7 @@ def _places(level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = (nodes.astype(np.uint64) + np.uint64((level + 1) << 20))[None, :]
     with np.errstate(over="ignore"):
         mixed = (x * _MULTIPLIERS[0][:, None]) ^ ((x * _MULTIPLIERS[0][:, None]) >> np.uint64(29))
-        bucket = ((mixed * _MULTIPLIERS[1][:, None]) >> np.uint64(55)).astype(np.int64)
+        bucket = ((mixed * _MULTIPLIERS[1][:, None]) >> np.uint64(54)).astype(np.int64)
         sign = ((mixed * _MULTIPLIERS[1][::-1][:, None]) >> np.uint64(63)).astype(np.int64) * 2 - 1
     return STARTS[level] + np.arange(DEPTH)[:, None] * WIDTH + bucket, sign
 

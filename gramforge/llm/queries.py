@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramforge.llm import frequent, packing, quantiles, readability, term_counts
+from gramforge.llm import frequent, leaks, packing, quantiles, readability, term_counts
 from gramforge.sources.tables import table
 
 
@@ -86,6 +86,17 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).groupBy("capacity_id").agg(F.count_distinct("item_id").alias("n_docs"), F.count(F.lit(1)).alias("n_pieces"), F.sum("piece_size").alias("n_tokens"))
 
 
+# -- problem 7: leaked evaluation texts -------------------------------------------------------------------------
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("item_id", "doc_id").distinct()
+
+
 # -- problem 8: reading level -----------------------------------------------------------------------------------
 
 
@@ -103,7 +114,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return kinds.groupBy(F.expr("regexp_extract(source, '^[a-z]+', 0)").alias("kind"), "reading_level").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("grade").alias("avg_grade"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_top, p5_found, p5_terms, p6_found, p6_bins, p6_totals, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_top, p5_found, p5_terms, p6_found, p6_bins, p6_totals, p7_found, p7_leaks, p8_found, p8_levels, p8_profile)}
 
 _COUNTS = """WITH tokens AS (SELECT ngram, unnest(document_ids) AS id FROM graph_nodes WHERE ngram IS NOT NULL),
  found AS (SELECT ngram, count(*) AS occurrences, count(DISTINCT id) AS n_records FROM tokens WHERE id >= 0 GROUP BY ngram),
