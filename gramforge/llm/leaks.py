@@ -12,8 +12,8 @@ Latent semantic retrieval with an exact check of the order of words:
 3. **Distributed randomised SVD.** The latent space is fitted on all item
    passages and a bounded sample of corpus passages (``SAMPLE``, chosen by a
    hash of the text; both sides weigh the same): A'(A W) is summed over
-   partitions, orthonormalised on the driver, and once more for a power
-   iteration.
+   partitions and orthonormalised on the driver, again for a power iteration,
+   and a last time to rotate the basis to the singular directions.
 4. **Cosine search.** Every passage of every document is folded into the space
    and compared with all items in one matrix product; every pair at or above
    ``COSINE`` is a candidate.  There is no top k and no cap.
@@ -53,9 +53,9 @@ from gramforge.plans.cut import checkpointed
 
 STANDING = 3
 STRIDE = 32
-RANK, OVERSAMPLE, ITERATIONS = 256, 16, 2
+RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
 SAMPLE, SAMPLE_TASKS = 20_000, 3
-COSINE = 0.22
+COSINE = 0.25
 SHARE = 0.4
 BLOCK_WORDS = 200_000
 
@@ -166,6 +166,17 @@ def _sum_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _fold(term: np.ndarray, weight: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Weighted sums of the basis rows of consecutive stretches of terms; stretches of one length are one batched product."""
+    length = np.diff(first, append=len(term))
+    out = np.empty((len(first), basis.shape[1]), np.float32)
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        at = first[rows][:, None] + np.arange(n)
+        out[rows] = (weight[at][:, None, :] @ basis[term[at]])[:, 0]
+    return out
+
+
 def _gram_product(passages: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, block: int = 2000) -> np.ndarray:
     """A' (A basis) of these passages."""
     out = np.zeros_like(basis)
@@ -197,14 +208,16 @@ def latent_basis(sample: DataFrame, n_sample: int, items: list[np.ndarray], idf:
     width = min(rank + OVERSAMPLE, len(idf))
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width)).astype(np.float32))[0]
     weight = len(items) / max(n_sample, 1)
-    singular = np.ones(width)
-    for _ in range(ITERATIONS):
+    for last in range(ITERATIONS, 0, -1):
         total = _gram_product(items, idf, basis)
         for r in sample.mapInArrow(_partial(idf, basis), "terms binary, sums binary").toLocalIterator():
             used = np.frombuffer(r.terms, np.int32)
             total[used] += weight * np.frombuffer(r.sums, np.float32).reshape(len(used), -1)
-        left, singular, _ = np.linalg.svd(total, full_matrices=False)
-        basis = np.ascontiguousarray(left)
+        if last == 1:  # the directions of the basis in order of their singular values
+            order = np.linalg.eigh(basis.T @ total)[1][:, ::-1]
+            basis = basis @ order
+        else:
+            basis = np.linalg.qr(total)[0]
     return basis[:, : min(rank, width)].astype(np.float32)
 
 
@@ -301,7 +314,7 @@ class Searcher:
             lo, hi = max(a - 1, 0), min(a + 20_000, len(key))
             begin, end = first[lo], first[hi] if hi < len(key) else len(at)
             w = self.idf[term[begin:end]]
-            half = np.add.reduceat(w[:, None] * self.basis[term[begin:end]], first[lo:hi] - begin, axis=0)
+            half = _fold(term[begin:end], w, first[lo:hi] - begin, self.basis)
             mass = np.add.reduceat(w * w, first[lo:hi] - begin)
             own = key[lo:hi]
             follows = np.flatnonzero(np.diff(own) == 1)
