@@ -1,16 +1,21 @@
 """Regular expressions of the linear-time dialect (RE2): parsing, validation, literals, translation to Java and Python.
 
 A pattern is parsed once into a small tree (tuples whose first element names the
-kind):
+kind).  Flags are resolved while parsing, so that every node says itself
+whether it ignores case:
 
-    ("char", c)            one character
+    ("char", c, fold)      one character
     ("any",)               the dot
-    ("class", text)        a character class, already in a form that Java and Python read alike
+    ("class", text, fold)  a character class, in a form that Java and Python's ``regex`` read alike
     ("anchor", name)       begin, end, line_begin, line_end, word, no_word
-    ("cat", [nodes]) ("alt", [nodes]) ("group", node, flags) ("repeat", node, least, most, greedy)
+    ("cat", [nodes]) ("alt", [nodes]) ("group", node) ("repeat", node, least, most)
 
-Patterns that the dialect rejects raise :class:`InvalidPattern`; a rejected
-pattern matches nothing, and no Spark task ever sees it.
+Whether a repetition is greedy is not kept, as only the existence of a match
+matters.  Patterns that the dialect rejects raise :class:`InvalidPattern`; a
+rejected pattern matches nothing, and no Spark task ever sees it.
+
+Known differences: ``\\C`` reads one character (the dialect: one byte), and
+the category C includes unassigned characters.
 """
 
 from __future__ import annotations
@@ -20,14 +25,39 @@ from functools import lru_cache
 
 MOST_REPEATS = 1000
 
-# What the escapes stand for.
+# What the escapes, names and categories stand for.
+_EVERYTHING = r"\x00-\U0010ffff"
 _CLASSES = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r "}
+_NEGATED = {"d": r"\x00-/:-\U0010ffff", "w": r"\x00-/:-@\[-\^`{-\U0010ffff", "s": r"\x00-\x08\x0b\x0e-\x1f!-\U0010ffff"}
 _CONTROLS = {"a": "\a", "f": "\f", "t": "\t", "n": "\n", "r": "\r", "v": "\v"}
 _ANCHORS = {"A": "begin", "z": "end", "b": "word", "B": "no_word"}
 _POSIX = {
     "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7f", "blank": r"\t ", "cntrl": r"\x00-\x1f\x7f", "digit": "0-9", "graph": "!-~",
     "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0b\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
 }
+_POSIX_NEGATED = {
+    "alnum": r"\x00-/:-@\[-`{-\U0010ffff", "alpha": r"\x00-@\[-`{-\U0010ffff", "ascii": r"\x80-\U0010ffff", "blank": r"\x00-\x08\x0a-\x1f!-\U0010ffff",
+    "cntrl": r" -~\x80-\U0010ffff", "digit": r"\x00-/:-\U0010ffff", "graph": r"\x00- \x7f-\U0010ffff", "lower": r"\x00-`{-\U0010ffff", "print": r"\x00-\x1f\x7f-\U0010ffff",
+    "punct": r"\x00- 0-9A-Za-z\x7f-\U0010ffff", "space": r"\x00-\x08\x0e-\x1f!-\U0010ffff", "upper": r"\x00-@\[-\U0010ffff", "word": r"\x00-/:-@\[-\^`{-\U0010ffff",
+    "xdigit": r"\x00-/:-@G-`g-\U0010ffff",
+}
+_CATEGORIES = frozenset("C Cc Cf Co Cs L Ll Lm Lo Lt Lu M Mc Me Mn N Nd Nl No P Pc Pd Pe Pf Pi Po Ps S Sc Sk Sm So Z Zl Zp Zs".split())
+_SCRIPTS = frozenset(
+    """
+    Adlam Ahom Anatolian_Hieroglyphs Arabic Armenian Avestan Balinese Bamum Bassa_Vah Batak Bengali Bhaiksuki Bopomofo Brahmi Braille Buginese
+    Buhid Canadian_Aboriginal Carian Caucasian_Albanian Chakma Cham Cherokee Chorasmian Common Coptic Cuneiform Cypriot Cyrillic Deseret
+    Devanagari Dives_Akuru Dogra Duployan Egyptian_Hieroglyphs Elbasan Elymaic Ethiopic Georgian Glagolitic Gothic Grantha Greek Gujarati
+    Gunjala_Gondi Gurmukhi Han Hangul Hanifi_Rohingya Hanunoo Hatran Hebrew Hiragana Imperial_Aramaic Inherited Inscriptional_Pahlavi
+    Inscriptional_Parthian Javanese Kaithi Kannada Katakana Kayah_Li Kharoshthi Khitan_Small_Script Khmer Khojki Khudawadi Lao Latin Lepcha
+    Limbu Linear_A Linear_B Lisu Lycian Lydian Mahajani Makasar Malayalam Mandaic Manichaean Marchen Masaram_Gondi Medefaidrin Meetei_Mayek
+    Mende_Kikakui Meroitic_Cursive Meroitic_Hieroglyphs Miao Modi Mongolian Mro Multani Myanmar Nabataean Nandinagari New_Tai_Lue Newa Nko
+    Nushu Nyiakeng_Puachue_Hmong Ogham Ol_Chiki Old_Hungarian Old_Italic Old_North_Arabian Old_Permic Old_Persian Old_Sogdian
+    Old_South_Arabian Old_Turkic Oriya Osage Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa Phoenician Psalter_Pahlavi Rejang Runic
+    Samaritan Saurashtra Sharada Shavian Siddham SignWriting Sinhala Sogdian Sora_Sompeng Soyombo Sundanese Syloti_Nagri Syriac Tagalog
+    Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tamil Tangut Telugu Thaana Thai Tibetan Tifinagh Tirhuta Ugaritic Vai Wancho Warang_Citi Yezidi
+    Yi Zanabazar_Square
+    """.split()
+)
 
 
 class InvalidPattern(ValueError):
@@ -38,9 +68,19 @@ def _class_char(c: str) -> str:
     return "\\" + c if c in "[]\\^-&~|" else c if c.isprintable() else f"\\x{ord(c):02x}" if ord(c) < 256 else c
 
 
+_BOUNDS = re.compile(r"\{([0-9]+)(,([0-9]*))?\}")
+_NAME = re.compile(r"P?<([A-Za-z_]\w*)>")
+_FLAGS = re.compile(r"([imsU]*)(?:-([imsU]+))?([:)])")
+_HEX = re.compile(r"\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2})")
+_OCTAL = re.compile(r"[0-7]{1,2}")
+_PROPERTY = re.compile(r"\{(\^?\w+)\}|(\w)")
+_POSIX_NAME = re.compile(r":(\^?)(\w+):\]")
+
+
 class _Parser:
     def __init__(self, pattern: str) -> None:
         self.p, self.i = pattern, 0
+        self.names: set[str] = set()
 
     def peek(self, n: int = 1) -> str:
         return self.p[self.i : self.i + n]
@@ -52,9 +92,9 @@ class _Parser:
         return self.p[self.i - 1]
 
     def alternatives(self, flags: frozenset) -> tuple:
-        branches, own = [], flags
+        branches = []
         while True:
-            node, own = self.sequence(own)
+            node, flags = self.sequence(flags)
             branches.append(node)
             if self.peek() != "|":
                 return branches[0] if len(branches) == 1 else ("alt", branches)
@@ -63,124 +103,138 @@ class _Parser:
     def sequence(self, flags: frozenset) -> tuple[tuple, frozenset]:
         nodes: list[tuple] = []
         while (c := self.peek()) and c not in "|)":
-            if c in "*+?" or (c == "{" and self.bounds(look=True)):
+            if self.at_repetition():
                 raise InvalidPattern("nothing to repeat")
-            node, flags = self.atom(flags)
-            if node is None:
+            found, flags = self.atom(flags)
+            if not found:
                 continue
-            nodes.append(self.repeats(node, flags))
+            *before, last = found
+            nodes += before
+            nodes.append(self.repeated(last))
         return (nodes[0] if len(nodes) == 1 else ("cat", nodes)), flags
 
-    def bounds(self, look: bool = False) -> tuple[int, int | None] | None:
-        m = re.compile(r"\{([0-9]+)(,([0-9]*))?\}").match(self.p, self.i)
-        if not m:
-            return None
-        least = int(m[1])
-        most = least if m[2] is None else int(m[3]) if m[3] else None
-        if least > MOST_REPEATS or (most or 0) > MOST_REPEATS or (most is not None and most < least):
-            raise InvalidPattern("bad repetition")
-        if not look:
+    def at_repetition(self) -> bool:
+        c = self.peek()
+        return c != "" and c in "*+?" or c == "{" and _BOUNDS.match(self.p, self.i) is not None
+
+    def repeated(self, node: tuple) -> tuple:
+        if not self.at_repetition():
+            return node
+        if (c := self.peek()) == "{":
+            m = _BOUNDS.match(self.p, self.i)
+            least = int(m[1])
+            most = least if m[2] is None else int(m[3]) if m[3] else None
+            if least > MOST_REPEATS or (most or 0) > MOST_REPEATS or (most is not None and most < least):
+                raise InvalidPattern("bad repetition")
             self.i = m.end()
-        return least, most
-
-    def repeats(self, node: tuple, flags: frozenset) -> tuple:
-        while c := self.peek():
-            if c in "*+?":
-                if node[0] == "repeat" and node[-1] is not None and self.p[self.i - 1] in "*+?}" and node[5:] != ("done",):
-                    raise InvalidPattern("repetition of a repetition")
-                self.take()
-                least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[c]
-            elif c == "{" and (b := self.bounds()):
-                least, most = b
-            else:
-                break
-            greedy = True
-            if self.peek() == "?":
-                self.take()
-                greedy = False
-            if self.peek() and self.peek() in "*+?":
-                raise InvalidPattern("repetition of a repetition")
-            node = ("repeat", node, least, most, greedy)
-        return node
+        else:
+            self.take()
+            least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[c]
+        if self.peek() == "?":
+            self.take()
+        if self.at_repetition():
+            raise InvalidPattern("repetition of a repetition")
+        return ("repeat", node, least, most)
 
-    def atom(self, flags: frozenset) -> tuple[tuple | None, frozenset]:
+    def atom(self, flags: frozenset) -> tuple[list[tuple], frozenset]:
         c = self.take()
         if c == "(":
             return self.group(flags)
         if c == "[":
-            return self.klass(), flags
+            return [self.klass("i" in flags)], flags
         if c == ".":
-            return (("class", r"\x00-\U0010ffff") if "s" in flags else ("any",)), flags
+            return [("class", _EVERYTHING, False) if "s" in flags else ("any",)], flags
         if c == "^":
-            return ("anchor", "line_begin" if "m" in flags else "begin"), flags
+            return [("anchor", "line_begin" if "m" in flags else "begin")], flags
         if c == "$":
-            return ("anchor", "line_end" if "m" in flags else "end"), flags
+            return [("anchor", "line_end" if "m" in flags else "end")], flags
         if c == "\\":
-            return self.escape(), flags
-        return ("char", c), flags
+            return self.escape("i" in flags), flags
+        return [_char(c, "i" in flags)], flags
 
-    def group(self, flags: frozenset) -> tuple[tuple | None, frozenset]:
+    def group(self, flags: frozenset) -> tuple[list[tuple], frozenset]:
         inner = flags
         if self.peek() == "?":
             self.take()
-            if m := re.compile(r"P?<[A-Za-z_]\w*>").match(self.p, self.i):
+            if m := _NAME.match(self.p, self.i):
+                if m[1] in self.names:
+                    raise InvalidPattern("two groups of one name")
+                self.names.add(m[1])
                 self.i = m.end()
-            elif m := re.compile(r"([imsU]*)(?:-([imsU]+))?([:)])").match(self.p, self.i):
+            elif m := _FLAGS.match(self.p, self.i):
                 self.i = m.end()
-                inner = (flags | set(m[1])) - set(m[2] or "")
+                inner = (flags | frozenset(m[1])) - frozenset(m[2] or "")
                 if m[3] == ")":
-                    return None, frozenset(inner)
+                    return [], inner
             else:
                 raise InvalidPattern("this kind of group")
-        node = self.alternatives(frozenset(inner))
+        node = self.alternatives(inner)
         if self.peek() != ")":
             raise InvalidPattern("a group isn't closed")
         self.take()
-        return ("group", node, tuple(sorted(inner))), flags
+        return [("group", node)], flags
 
     def hexadecimal(self) -> str:
-        m = re.compile(r"\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2})").match(self.p, self.i)
+        m = _HEX.match(self.p, self.i)
         if not m or int(m[1] or m[2], 16) > 0x10FFFF:
             raise InvalidPattern("bad character code")
         self.i = m.end()
         return chr(int(m[1] or m[2], 16))
 
-    def escape(self) -> tuple:
+    def octal(self, c: str) -> str:
+        m = _OCTAL.match(self.p, self.i)
+        if c != "0" and not m:
+            raise InvalidPattern("back references")
+        digits = c + (m[0] if m else "")
+        self.i += len(digits) - 1
+        return chr(int(digits, 8))
+
+    def character(self, c: str) -> str:
+        """The character that an escaped ``c`` stands for, within and outside of classes."""
+        if c in _CONTROLS:
+            return _CONTROLS[c]
+        if c == "x":
+            return self.hexadecimal()
+        if c in "01234567":
+            return self.octal(c)
+        if c.isalnum() and c.isascii():
+            raise InvalidPattern(f"no escape \\{c}")
+        return c
+
+    def escape(self, fold: bool) -> list[tuple]:
         c = self.take()
         if c in _ANCHORS:
-            return ("anchor", _ANCHORS[c])
+            return [("anchor", _ANCHORS[c])]
         if c.lower() in _CLASSES:
-            return ("class", ("^" if c.isupper() else "") + _CLASSES[c.lower()])
+            return [("class", ("^" if c.isupper() else "") + _CLASSES[c.lower()], fold)]
         if c in "pP":
-            return ("property", ("^" if c == "P" else "") + self.property())
-        if c in _CONTROLS:
-            return ("char", _CONTROLS[c])
-        if c == "x":
-            return ("char", self.hexadecimal())
+            return [("class", self.property(c == "P"), fold)]
+        if c == "C":
+            return [("class", _EVERYTHING, False)]
         if c == "Q":
             end = self.p.find("\\E", self.i)
             text = self.p[self.i :] if end < 0 else self.p[self.i : end]
             self.i = len(self.p) if end < 0 else end + 2
-            return ("cat", [("char", x) for x in text])
-        if c in "01234567":
-            m = re.compile(r"[0-7]{1,2}").match(self.p, self.i)
-            if c != "0" and not m:
-                raise InvalidPattern("back references")
-            digits = c + (m[0] if m else "")
-            self.i += len(digits) - 1
-            return ("char", chr(int(digits, 8)))
-        if c.isalnum() and c.isascii():
-            raise InvalidPattern(f"no escape \\{c}")
-        return ("char", c)
+            return [_char(x, fold) for x in text]
+        return [_char(self.character(c), fold)]
 
-    def property(self) -> str:
-        m = re.compile(r"\{(\^?\w+)\}|(\w)").match(self.p, self.i)
+    def property(self, negated: bool) -> str:
+        m = _PROPERTY.match(self.p, self.i)
         if not m:
             raise InvalidPattern("bad property")
         self.i = m.end()
-        return m[1] or m[2]
-
-    def klass(self) -> tuple:
+        name = m[1] or m[2]
+        if name.startswith("^"):
+            negated, name = not negated, name[1:]
+        if name == "Any":
+            if negated:
+                raise InvalidPattern("a class of nothing")
+            return _EVERYTHING
+        if name not in _CATEGORIES and name not in _SCRIPTS:
+            raise InvalidPattern("an unknown property")
+        return ("\\P{" if negated else "\\p{") + ("Is" if name in _SCRIPTS else "") + name + "}"
+
+    def klass(self, fold: bool) -> tuple:
         negated = self.peek() == "^"
         if negated:
             self.take()
@@ -190,54 +244,57 @@ class _Parser:
             if c == "]" and not first:
                 break
             first = False
-            if c == "[" and (m := re.compile(r":(\^?)(\w+):\]").match(self.p, self.i)):
-                if m[2] not in _POSIX or m[1]:
-                    raise InvalidPattern("this class in a class")
+            if c == "[" and (m := _POSIX_NAME.match(self.p, self.i)):
+                if m[2] not in _POSIX:
+                    raise InvalidPattern("no such class")
                 self.i = m.end()
-                out.append(_POSIX[m[2]])
+                out.append((_POSIX_NEGATED if m[1] else _POSIX)[m[2]])
                 continue
-            low = self.class_item(c)
-            if len(low) > 1:
-                out.append(low)
+            if c == "\\" and self.peek() and self.peek() in "dDwWsSpP":
+                c = self.take()
+                out.append(self.property(c == "P") if c in "pP" else _CLASSES[c] if c in _CLASSES else _NEGATED[c.lower()])
                 continue
+            low = self.character(self.take()) if c == "\\" else c
             if self.peek() == "-" and self.peek(2)[1:] not in ("]", ""):
                 self.take()
-                high = self.class_item(self.take())
-                if len(high) > 1 or high < low:
+                c = self.take()
+                high = self.character(self.take()) if c == "\\" else c
+                if high < low:
                     raise InvalidPattern("bad range")
                 out.append(f"{_class_char(low)}-{_class_char(high)}")
             else:
                 out.append(_class_char(low))
-        return ("class", ("^" if negated else "") + "".join(out))
+        return ("class", ("^" if negated else "") + "".join(out), fold)
 
-    def class_item(self, c: str) -> str:
-        """One character, or (longer) the text of a class within the class."""
-        if c != "\\":
-            return c
-        c = self.take()
-        if c in _CLASSES:
-            return _CLASSES[c]
-        if c in ("D", "W", "S", "p", "P"):
-            negations = {"D": r"\x00-/:-\U0010ffff", "W": r"\x00-/:-@\[-\^`{-\U0010ffff", "S": r"\x00-\x08\x0b\x0e-\x1f!-\U0010ffff"}
-            if c in negations:
-                return negations[c]
-            raise InvalidPattern("a property in a class")
-        if c in _CONTROLS:
-            return _CONTROLS[c]
-        if c == "x":
-            return self.hexadecimal()
-        if c.isalnum() and c.isascii():
-            raise InvalidPattern(f"no escape \\{c}")
-        return c
+
+def _char(c: str, fold: bool) -> tuple:
+    return ("char", c, fold and (c.lower() != c or c.upper() != c))
+
+
+def _most_rounds(node: tuple) -> int:
+    """Rounds of nested repetitions multiplied: the dialect refuses more than ``MOST_REPEATS`` altogether."""
+    if node[0] in ("cat", "alt"):
+        return max(map(_most_rounds, node[1]), default=1)
+    if node[0] == "group":
+        return _most_rounds(node[1])
+    if node[0] == "repeat":
+        rounds = node[2] if node[3] is None else node[3]
+        return max(rounds, 1) * _most_rounds(node[1])
+    return 1
 
 
 @lru_cache(maxsize=10_000)
 def parse(pattern: str) -> tuple:
     """The tree of a pattern; raises :class:`InvalidPattern`."""
     parser = _Parser(pattern)
-    node = parser.alternatives(frozenset())
-    if parser.i < len(pattern):
-        raise InvalidPattern("a group is closed that isn't open")
+    try:
+        node = parser.alternatives(frozenset())
+        if parser.i < len(pattern):
+            raise InvalidPattern("a group is closed that isn't open")
+        if _most_rounds(node) > MOST_REPEATS:
+            raise InvalidPattern("too many repetitions")
+    except RecursionError:
+        raise InvalidPattern("nested too deeply") from None
     return node
 
 
@@ -245,7 +302,7 @@ def is_valid(pattern: str | None) -> bool:
     """Whether the dialect has this pattern."""
     try:
         return pattern is not None and parse(pattern) is not None
-    except (InvalidPattern, RecursionError):
+    except InvalidPattern:
         return False
 
 
@@ -254,11 +311,11 @@ def is_valid(pattern: str | None) -> bool:
 
 def _single(node: tuple) -> str | None:
     """The class text of a node that is one character of a few, else None."""
-    if node[0] == "group" and "i" not in node[2]:
+    if node[0] == "group":
         return _single(node[1])
-    if node[0] == "char":
+    if node[0] == "char" and not node[2]:
         return _class_char(node[1])
-    if node[0] == "class" and not node[1].startswith("^"):
+    if node[0] == "class" and not node[1].startswith("^") and not node[2]:
         return node[1]
     if node[0] == "alt":
         parts = [_single(n) for n in node[1]]
@@ -266,50 +323,57 @@ def _single(node: tuple) -> str | None:
     return None
 
 
-_EVERYTHING = r"\x00-\U0010ffff"
+_WORD_EDGE = {
+    "word": "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))",
+    "no_word": "(?:(?<![0-9A-Za-z_])(?![0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_]))",
+}
+
 
+class _Writer:
+    """Writes a tree in the syntax of Java or of Python's ``regex``."""
 
-def _emit(node: tuple, java: bool, fold: bool) -> str:
-    kind = node[0]
-    if kind == "char":
-        c = node[1]
+    def __init__(self, java: bool) -> None:
+        self.end, self.fold, self.last = (r"\z", "(?iu:", r"\x{10ffff}") if java else (r"\Z", "(?i:", r"\U0010ffff")
+
+    def literal(self, c: str) -> str:
         return re.escape(c) if not c.isspace() or c == " " else f"\\x{ord(c):02x}" if ord(c) < 256 else c
-    if kind == "any":
-        return r"[^\n]"
-    if kind == "class":
-        return "[" + (node[1].replace(r"\U0010ffff", r"\x{10ffff}") if java else node[1]) + "]"
-    if kind == "property":
-        if not java:
-            raise InvalidPattern("a property in Python")
-        return (r"\P{" if node[1].startswith("^") else r"\p{") + node[1].lstrip("^") + "}"
-    if kind == "anchor":
-        return {"begin": r"\A", "end": r"\z" if java else r"\Z", "line_begin": r"(?:(?<=\n)|\A)", "line_end": r"(?:(?=\n)|\z)" if java else r"(?:(?=\n)|\Z)", "word": r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))", "no_word": r"(?:(?<![0-9A-Za-z_])(?![0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_]))"}[node[1]]
-    if kind == "cat":
-        return "".join(_emit(n, java, fold) if n[0] != "alt" else f"(?:{_emit(n, java, fold)})" for n in node[1])
-    if kind == "alt":
-        one = _single(node)
-        return f"[{one}]".replace(r"\U0010ffff", r"\x{10ffff}" if java else r"\U0010ffff") if one else "|".join(_emit(n, java, fold) for n in node[1])
-    if kind == "group":
-        inner = "i" in node[2]
-        return f"(?{('iu' if java else 'i') if inner and not fold else ''}:{_emit(node[1], java, inner)})"
-    _, inner, least, most, greedy = node
-    if inner[0] == "repeat" or inner[0] in ("cat", "alt") or (inner[0] == "char" and len(_emit(inner, java, fold)) > 4):
-        body = f"(?:{_emit(inner, java, fold)})"
-    else:
-        body = _emit(inner, java, fold)
-    times = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((least, most)) or ("{%d}" % least if most == least else "{%d,%s}" % (least, "" if most is None else most))
-    return body + times + ("" if greedy else "?")
+
+    def klass(self, text: str) -> str:
+        return "[" + text.replace(r"\U0010ffff", self.last) + "]"
+
+    def write(self, node: tuple) -> str:
+        kind = node[0]
+        if kind == "char":
+            return self.fold + self.literal(node[1]) + ")" if node[2] else self.literal(node[1])
+        if kind == "any":
+            return r"[^\n]"
+        if kind == "class":
+            return self.fold + self.klass(node[1]) + ")" if node[2] else self.klass(node[1])
+        if kind == "anchor":
+            return _WORD_EDGE.get(node[1]) or {"begin": r"\A", "end": self.end, "line_begin": r"(?:(?<=\n)|\A)", "line_end": rf"(?:(?=\n)|{self.end})"}[node[1]]
+        if kind == "cat":
+            return "".join(f"(?:{self.write(n)})" if n[0] == "alt" else self.write(n) for n in node[1])
+        if kind == "alt":
+            one = _single(node)
+            return self.klass(one) if one else "|".join(map(self.write, node[1]))
+        if kind == "group":
+            return f"(?:{self.write(node[1])})"
+        _, inner, least, most = node
+        body = self.write(inner)
+        if inner[0] in ("repeat", "cat", "alt", "anchor"):
+            body = f"(?:{body})"
+        return body + ({(0, None): "*", (1, None): "+", (0, 1): "?"}.get((least, most)) or "{%d%s}" % (least, "" if most == least else ",%s" % ("" if most is None else most)))
 
 
 def _at_end(node: tuple) -> tuple | None:
     """A node at either end of the pattern: of a repetition only the least number of rounds matters (None: nothing)."""
     inner = node
-    while inner[0] == "group" and not inner[2]:
+    while inner[0] == "group":
         inner = inner[1]
     if inner[0] != "repeat":
         return node
-    _, body, least, _, _ = inner
-    return None if least == 0 else body if least == 1 else ("repeat", body, least, least, True)
+    _, body, least, _ = inner
+    return None if least == 0 else body if least == 1 else ("repeat", body, least, least)
 
 
 def _trimmed(node: tuple) -> tuple:
@@ -318,26 +382,20 @@ def _trimmed(node: tuple) -> tuple:
     for end in (0, -1):
         while nodes:
             short = _at_end(nodes[end])
-            if short is nodes[end]:
+            if short == nodes[end]:
                 break
             nodes[end : len(nodes) if end else 1] = [short] if short else []
     return ("cat", nodes)
 
 
-def _folds(pattern: str) -> bool:
-    return bool(re.match(r"\(\?[imsU]*i[imsU]*\)", pattern))
-
-
 def to_java(pattern: str) -> str:
     """An equivalent (as to whether there is a match) pattern for ``rlike``."""
-    body = _emit(_trimmed(parse(pattern)), True, _folds(pattern))
-    return ("(?iu)" if _folds(pattern) else "") + body
+    return _Writer(True).write(_trimmed(parse(pattern)))
 
 
 def to_python(pattern: str) -> str:
-    """The same for Python's ``re``."""
-    body = _emit(_trimmed(parse(pattern)), False, _folds(pattern))
-    return ("(?i)" if _folds(pattern) else "") + body
+    """The same for Python's ``regex`` module."""
+    return _Writer(False).write(_trimmed(parse(pattern)))
 
 
 def is_deep(pattern: str) -> bool:
@@ -347,7 +405,7 @@ def is_deep(pattern: str) -> bool:
         kind = node[0]
         if kind == "repeat":
             inner = node[1]
-            if (node[3] is None or node[3] > 50) and _single(inner) is None and inner[0] not in ("any", "class", "char", "property"):
+            if (node[3] is None or node[3] > 50) and _single(inner) is None and inner[0] not in ("any", "class", "char"):
                 return True
             return walk(inner)
         if kind in ("cat", "alt"):
@@ -360,25 +418,18 @@ def is_deep(pattern: str) -> bool:
 # -- literals ---------------------------------------------------------------------------------------------------
 
 
-def _has_flags(pattern: str) -> bool:
-    return bool(re.search(r"\(\?[imsU]*i", pattern))
-
-
 def sound_literals(pattern: str) -> list[str]:
     """Strings that every match of the pattern contains, in order; [] if the pattern is invalid or promises none.
 
-    Literals stand outside all brackets and aren't repeated.  A choice at the
-    top level, or a flag that folds case, gives none.
+    Literals stand outside all brackets, aren't repeated and don't ignore case.
+    A choice at the top level gives none.
     """
-    if not is_valid(pattern) or _has_flags(pattern):
+    if not is_valid(pattern):
         return []
     node = parse(pattern)
-    nodes = node[1] if node[0] == "cat" else [node]
     out, run = [], ""
-    for n in [*nodes, ("any",)]:
-        if n[0] == "cat" and all(x[0] == "char" for x in n[1]):
-            run += "".join(x[1] for x in n[1])
-        elif n[0] == "char":
+    for n in [*(node[1] if node[0] == "cat" else [node]), ("any",)]:
+        if n[0] == "char" and not n[2]:
             run += n[1]
         else:
             if run:
@@ -415,7 +466,8 @@ def compat_literals(pattern: str) -> list[str]:
 
     Metacharacters and class escapes outside brackets vanish without ending a
     literal, braces are brackets like any other, and a repetition sign that
-    doesn't follow a bracket or the beginning makes the whole pattern useless.
+    stands anywhere but after a bracket makes the whole pattern useless.  A
+    bracket that stays open hides what follows it.
     """
     out: list[str] = []
     literal: list[str] = []
@@ -427,6 +479,10 @@ def compat_literals(pattern: str) -> list[str]:
             escaped = True
             continue
         bare = not escaped
+        if c in "*+?":  # also within brackets
+            if closed_at != i - 1 and (literal or i == 0):
+                return []
+            continue  # the sign leaves an escape standing
         if bare and c in _OPENERS:
             if not open_brackets and literal:
                 out.append("".join(literal))
@@ -437,22 +493,13 @@ def compat_literals(pattern: str) -> list[str]:
                 return []
             if not open_brackets:
                 closed_at = i
-        elif open_brackets:
-            pass
-        elif c in "*+?":
-            if closed_at != i - 1 and (literal or i == 0):
-                return []
-            if not bare:
-                continue  # the sign leaves the escape standing
-        elif bare and c in "^$.|" or not bare and c in _COMPAT_CLASSES:
+        elif open_brackets or (bare and c in "^$.|") or (not bare and c in _COMPAT_CLASSES):
             pass
         elif not bare and c in "nt":
             literal.append({"n": "\n", "t": "\t"}[c])
         else:
             literal.append(c)
         escaped = False
-    if open_brackets:
-        return []
     return out + (["".join(literal)] if literal else [])
 
 
@@ -464,9 +511,18 @@ def literals(pattern: str, mode: str = "sound") -> list[str]:
 # -- other rewrites ---------------------------------------------------------------------------------------------
 
 
+# The published PROSITE notation, sign by sign.
+_PROSITE = {"-": "", "x": ".", "{": "[^", "}": "]", "(": "{", ")": "}", "<": "^", ">": "$"}
+
+
 def prosite_to_regex(motif: str) -> str:
-    """A PROSITE motif as a regular expression."""
-    s = motif.strip().rstrip(".")
-    for old, new in (("-", ""), ("{", "[^"), ("}", "]"), ("(", "{"), (")", "}"), ("x", "."), ("<", "^"), (">", "$")):
-        s = s.replace(old, new)
-    return re.sub(r"\[([^\]^]*)\$\]$", r"([\1]|\\z)", s)
+    """A PROSITE motif as a regular expression.
+
+    The motif is read sign by sign; a final full stop ends it, and a last
+    element ``[...>]`` or ``[...$]`` (one of these residues or the end of the
+    sequence) becomes a choice with the end of the text.
+    """
+    motif = motif.strip().rstrip(".")
+    last = re.fullmatch(r"(.*)\[([^\[\]]*)[$>]\]", motif, re.S)
+    head, end = (last[1], f"([{last[2]}]|\\z)" if last[2] else r"\z") if last else (motif, "")
+    return "".join(_PROSITE.get(c, c) for c in head) + end
