@@ -152,7 +152,8 @@ def _arrow_codes(jobs: list[tuple[int, str, tuple, tuple]], chosen: bool):
         import regex
 
         find = _Finder({x for _, _, plan, need in jobs for x in boolean.literals(need) + ([] if chosen else boolean.literals(plan))})
-        compiled = {n: (regex.compile(p, regex.V0), plan, need) for n, p, plan, need in jobs}
+        searches: dict[int, object] = {}  # compiled when a text first gets that far
+        compiled = {n: (p, plan, need) for n, p, plan, need in jobs}
         # patterns by the rarest kind of evidence: those that need some string are only looked at when it is there
         by_string: dict[str, list[int]] = {}
         always: list[int] = []
@@ -178,7 +179,13 @@ def _arrow_codes(jobs: list[tuple[int, str, tuple, tuple]], chosen: bool):
                 for n in numbers:
                     expression, plan, need = compiled[n]
                     if chosen or _holds(plan, has):
-                        code = 2 * n + (1 if _holds(need, has) and expression.search(text) else 0)
+                        found = _holds(need, has)
+                        if found:
+                            search = searches.get(n)
+                            if search is None:
+                                search = searches[n] = regex.compile(expression, regex.V0).search
+                            found = search(text) is not None
+                        code = 2 * n + found
                         if code % 2 or plan != boolean.ALL:
                             counts[code] = counts.get(code, 0) + 1
             yield pa.RecordBatch.from_pydict({"code": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})

@@ -21,9 +21,10 @@ def p1_record_totals(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.per_key(table(spark, d, "postings"), "rec_id", "gram").select(F.col("key").alias("rec_id"), "occurrences", F.col("distinct_secondary").alias("n_grams"))
 
 
-def _drift(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    files = table(spark, d, "result_files")
-    return files, schema_drift.prepared(files, table(spark, d, "result_lines"))
+def _drift(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines = table(spark, d, "result_lines")
+    known = schema_drift.catalog(table(spark, d, "result_files"), lines)
+    return known, lines, schema_drift.schemas(known, lines)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,15 +32,29 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.versions(*_drift(spark, d))
+    known, _, fields = _drift(spark, d)
+    return schema_drift.versions(known, fields)
 
 
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
-    files, value = _drift(spark, d)
-    return schema_drift.unified(files, value, schema_drift.changes(files, value))
+    known, lines, fields = _drift(spark, d)
+    return schema_drift.unified(known, lines, fields, schema_drift.changes(known, lines, fields))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_gram_totals, p1_record_totals, p4_found, p4_versions, p4_unified)}
+# The fields of the wide table with their types and defaults.
+WIDE = {"name": ("text", "unknown"), "overall_time": ("decimal", None), "num_after_filter": ("integer", "-1"), "match_time": ("decimal", None), "num_keys": ("integer", None)}
+
+
+def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.wide(p4_unified(spark, d), WIDE)
+
+
+def p4_rejects(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "result_lines")
+    return schema_drift.rejects(schema_drift.catalog(table(spark, d, "result_files"), lines), lines)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_gram_totals, p1_record_totals, p4_found, p4_versions, p4_unified, p4_wide, p4_rejects)}
 
 SQL = {
     "p1_found": "SELECT gram FROM postings WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) * 50 >= (SELECT count(*) FROM postings)",
