@@ -343,8 +343,8 @@ _PARTS = "(SELECT p_partkey AS rec_id, p_name AS text FROM part WHERE p_name IS
 
 
 def _grams(corpus: str, k: int, distinct: bool = True) -> str:
-    """``(rec_id, gram)`` of the k-grams."""
-    made = f"list_transform(range(1, len(c) - {k} + 2), lambda i: array_to_string(c[i:i + {k} - 1], ''))"
+    """``(rec_id, gram)`` of the k-grams: the characters side by side with those after them, so a text is gone through once."""
+    made = f"list_transform(list_zip({', '.join(f'c[{i + 1}:len(c) - {k - 1 - i}]' for i in range(k))}), lambda x: {' || '.join(f'x[{i + 1}]' for i in range(k))})" if k > 1 else "c"
     return f"(SELECT rec_id, unnest({'list_distinct(' + made + ')' if distinct else made}) AS gram FROM (SELECT rec_id, string_split(text, '') AS c, text FROM {corpus}) WHERE len(c) >= {k} AND text <> '')"
 
 
@@ -387,7 +387,7 @@ _TRIGRAM_CANDIDATES = f"""WITH lit AS (SELECT query_id, literal FROM {_literal_t
  g AS (SELECT DISTINCT rec_id, gram FROM {_grams(_DOCS, 3)} WHERE gram IN (SELECT gram FROM pieces)),
  known AS (SELECT p.* FROM pieces p WHERE gram IN (SELECT gram FROM g)),
  need AS (SELECT query_id, count(*) AS n FROM known GROUP BY query_id),
- cand AS (SELECT query_id, rec_id FROM known JOIN g USING (gram) GROUP BY ALL HAVING count(*) = (SELECT n FROM need WHERE need.query_id = known.query_id)),
+ cand AS (SELECT query_id, rec_id FROM known JOIN g USING (gram) JOIN need USING (query_id) GROUP BY query_id, rec_id, n HAVING count(*) = n),
  cc AS (SELECT query_id, count(*) AS c FROM cand GROUP BY query_id),
  m AS ({_counts(_DOCS, "(SELECT DISTINCT pattern FROM queries)")}),
  f AS (SELECT q.pattern, CASE WHEN need.n IS NULL THEN (SELECT count(*) FROM {_DOCS}) ELSE coalesce(c, 0) END::BIGINT AS num_after_filter, match_count
