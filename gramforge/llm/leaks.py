@@ -2,13 +2,18 @@
 
 Latent semantic retrieval with an exact check of the order of words:
 
-1. **Items.** Standing instructions (sentences that ``STANDING`` or more items
-   share) are taken off; what is left is the item's own passage.  The items are
-   a query set of bounded size: they are handled in blocks of at most
-   ``BLOCK_WORDS`` words, and only a block's vocabulary goes to the tasks.
+1. **Items.** Standing instructions are taken off: sentences at the head of an
+   item that begin a share of ``STANDING`` of all different items (three at
+   least), as long as they are less than half of the item's words
+   (:func:`standing_sentences` reports them); what is left is the item's own
+   passage.  The items are a query set of bounded size: they are handled in
+   blocks whose latent basis is at most ``BASIS_BYTES``, and only a block's
+   vocabulary goes to the tasks.
 2. **TF-IDF passages.** Texts are cut into passages of ``2 * STRIDE`` words that
-   overlap by half.  Terms are pairs of adjacent words of the items' passages;
-   document frequencies are counted over all documents.
+   overlap by half.  Terms are pairs of words of the items' passages that are
+   adjacent or have one word between them, so that a passage with every second
+   word replaced still has terms; document frequencies are counted over all
+   documents.
 3. **Distributed randomised SVD.** The latent space is fitted on all item
    passages and a bounded sample of corpus passages (``SAMPLE``, chosen by a
    hash of the text; both sides weigh the same): A'(A W) is summed over
@@ -51,13 +56,13 @@ from pyspark.sql import functions as F
 
 from gramforge.plans.cut import checkpointed
 
-STANDING = 3
+STANDING = 0.02
 STRIDE = 32
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
 SAMPLE, SAMPLE_TASKS = 20_000, 3
 COSINE = 0.25
 SHARE = 0.4
-BLOCK_WORDS = 200_000
+BASIS_BYTES = 64 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[^<>]*>")
@@ -79,11 +84,38 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def _sentences(text: str) -> list[str]:
+    return [s.strip() for s in _SENTENCE.split(text) if s.strip()]
+
+
+def standing_sentences(texts: list[str]) -> dict[str, int]:
+    """The sentences that are taken as standing instructions, with the number of different texts they begin.
+
+    A sentence that follows other standing ones at the head of a text counts as
+    beginning it, too.
+    """
+    different = [_sentences(t) for t in sorted({t for t in texts if t})]
+    least = max(3, STANDING * len(different))
+    found: dict[str, int] = {}
+    while True:
+        heads = Counter(next((s for s in cut if s not in found), None) for cut in different)
+        new = {s: n for s, n in heads.items() if s is not None and n >= least}
+        if not new:
+            return found
+        found |= new
+
+
 def own_passages(items: list[tuple[int, str]]) -> dict[int, list[str]]:
-    """The words of each item without sentences that ``STANDING`` or more different items share."""
-    cut = {i: [s.strip() for s in _SENTENCE.split(t) if s.strip()] for i, t in items if t}
-    shared = Counter(s for sentences in {tuple(c) for c in cut.values()} for s in set(sentences))
-    return {i: words(" ".join(s for s in sentences if shared[s] < STANDING)) for i, sentences in cut.items()}
+    """The words of each item without the standing instructions at its head; the whole item where they are half of it or more."""
+    standing = standing_sentences([t for _, t in items])
+    out = {}
+    for i, t in items:
+        if t:
+            cut = _sentences(t)
+            head = next((k for k, s in enumerate(cut) if s not in standing), len(cut))
+            whole, own = words(t), words(" ".join(cut[head:]))
+            out[i] = own if 2 * len(own) > len(whole) else whole
+    return out
 
 
 class Vocabulary:
@@ -92,7 +124,7 @@ class Vocabulary:
     def __init__(self, passages: list[list[str]]) -> None:
         self.ids = {w: k for k, w in enumerate(sorted({w for p in passages for w in p}))}
         self.n = len(self.ids) + 1
-        found = [self.pairs(self.number(p)) for p in passages]
+        found = [self.pairs(self.number(p), apart) for p in passages for apart in (1, 2)]
         self.terms = np.unique(np.concatenate([f[f >= 0] for f in found])) if found else np.zeros(0, np.int64)
 
     def number(self, ws: list[str]) -> np.ndarray:
@@ -100,22 +132,28 @@ class Vocabulary:
         get = self.ids.get
         return np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
 
-    def pairs(self, numbers: np.ndarray) -> np.ndarray:
-        """Keys of the pairs that begin at each word; -1 where a word is unknown."""
-        if len(numbers) < 2:
+    def pairs(self, numbers: np.ndarray, apart: int = 1) -> np.ndarray:
+        """Keys of the pairs of words ``apart`` from each other that begin at each word; -1 where a word is unknown."""
+        if len(numbers) <= apart:
             return np.zeros(0, np.int64)
-        a, b = numbers[:-1], numbers[1:]
-        return np.where((a >= 0) & (b >= 0), a * self.n + b, -1)
+        a, b = numbers[:-apart], numbers[apart:]
+        return np.where((a >= 0) & (b >= 0), (a * self.n + b) * 2 + apart - 1, -1)
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, terms) of the terms in a sequence of word numbers."""
-        keys = self.pairs(numbers)
-        at = np.flatnonzero(keys >= 0)
-        if not len(at) or not len(self.terms):
+        """(positions, terms) of the terms in a sequence of word numbers, in order of their positions."""
+        if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.searchsorted(self.terms, keys[at])
-        good = (place < len(self.terms)) & (self.terms[np.minimum(place, len(self.terms) - 1)] == keys[at])
-        return at[good], place[good]
+        positions, found = [], []
+        for apart in (1, 2):
+            keys = self.pairs(numbers, apart)
+            at = np.flatnonzero(keys >= 0)
+            place = np.searchsorted(self.terms, keys[at])
+            good = self.terms[np.minimum(place, len(self.terms) - 1)] == keys[at]
+            positions.append(at[good])
+            found.append(place[good])
+        at = np.concatenate(positions)
+        order = np.argsort(at, kind="stable")
+        return at[order], np.concatenate(found)[order]
 
 
 _STATS = pa.schema([("term", pa.int32()), ("n", pa.int64()), ("sample", pa.list_(pa.int32()))])
@@ -293,7 +331,7 @@ class Searcher:
             at, terms = vocabulary.hits(p)
             best: dict[int, float] = {}
             for k, t in zip(at.tolist(), terms.tolist()):
-                for w in (int(p[k]), int(p[k + 1])):
+                for w in (int(p[k]), int(p[k + 1 + int(vocabulary.terms[t]) % 2])):
                     best[w] = best.get(w, 0.0) + float(idf[t])
             best = {w: x / int((p == w).sum()) for w, x in best.items()}
             self.answers.append(set(sorted(best, key=lambda w: (-best[w], w))[: max(2, len(best) // 5)]))
@@ -375,7 +413,8 @@ def _blocks(passages: dict[int, list[str]]) -> Iterator[list[int]]:
     for i, ws in sorted(passages.items(), key=lambda x: (x[0] is None, x[0] or 0)):
         if len(ws) < 2:
             continue
-        if block and n + len(ws) > BLOCK_WORDS:
+        # a word begins two terms, a term is a row of the basis
+        if block and 2 * (n + len(ws)) * 4 * (RANK + OVERSAMPLE) > BASIS_BYTES:
             yield block
             block, n = [], 0
         block.append(i)

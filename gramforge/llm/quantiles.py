@@ -13,11 +13,15 @@ memory, then they are sent on) and emits its non-zero cells; Spark adds the
 cells up with ``sum``.  What is shuffled for a group is bounded by the number
 of its cells, whatever the number of rows.
 
-Error: a returned value lies within a relative distance of ``2**-PRECISION``
-of a value whose rank differs from the wanted one by at most
-``LEVELS * 3 * ||f|| / sqrt(WIDTH)`` (||f||: the second norm of the counts of
-a level, which is at most the number of values) with a probability of over
-0.99; levels with at most ``EXACT`` nodes add none of it.
+Error: every percentile states its own.  ``value`` stands for values within a
+relative distance of ``2**-(PRECISION + 1)``, and its rank differs from the
+wanted one by at most ``rank_error``.  On the way down each estimate is the
+median of ``DEPTH`` rows whose errors are symmetric and independent, so the
+true count lies between the least and the greatest row with a probability of
+``1 - 2**(1 - DEPTH)``, whatever the values; ``rank_error`` adds up these
+distances over the levels that are sketched (levels with at most ``EXACT``
+nodes are exact).  With the defaults all levels hold together with a
+probability of 0.98.
 
 Edge cases: null and negative values don't count; a null group is a group of
 its own; a group whose values all don't count, or were all deleted, gives no
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 PRECISION = 10
 LEVELS = 16  # codes are below 2**LEVELS: (63 - PRECISION + 1) * 2**PRECISION at most
 EXACT = 1 << 11  # levels with no more nodes than this have exact counters
-DEPTH, WIDTH = 7, 1 << 10
+DEPTH, WIDTH = 9, 1 << 10
 MAX_GROUPS = 256
 BUNDLE = 500_000
 
@@ -103,22 +107,25 @@ def update(sketch: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> None:
         codes = nodes >> 1
 
 
-def count(sketch: np.ndarray, level: int, node: int) -> float:
-    """The estimated weight of a node."""
+def count(sketch: np.ndarray, level: int, node: int) -> tuple[float, float]:
+    """The estimated weight of a node, and how far the farthest row is from it."""
     cell, sign = _places(level, np.array([node]))
-    return float(np.median(sketch[cell[:, 0]] * sign[:, 0]))
+    rows = sketch[cell[:, 0]] * sign[:, 0]
+    middle = float(np.median(rows))
+    return middle, float(np.abs(rows - middle).max())
 
 
-def invert(sketch: np.ndarray, rank: float) -> float:
-    """The value of a rank (from 1)."""
-    node = 0
+def invert(sketch: np.ndarray, rank: float) -> tuple[float, float]:
+    """The value of a rank (from 1), and by how much its rank may differ."""
+    node, error = 0, 0.0
     for level in range(LEVELS - 1, -1, -1):
         node *= 2
-        left = max(count(sketch, level, node), 0.0)
-        if rank > left:
-            rank -= left
+        left, off = count(sketch, level, node)
+        error += off
+        if rank > max(left, 0.0):
+            rank -= max(left, 0.0)
             node += 1
-    return decode(node)
+    return decode(node), error
 
 
 def _emit(sketches: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -173,18 +180,29 @@ def merged(*sketches: DataFrame) -> DataFrame:
 
 
 def percentiles(sketches: DataFrame, probabilities: list[float]) -> DataFrame:
-    """``(field_name, group_key, n, probability, value)``: the value of rank ceil(probability * n) of each group.
+    """``(field_name, group_key, n, probability, value, rank_error)``: the value of rank ceil(probability * n) of each group and by how many ranks it may be off.
 
     One task per group reads at most the cells of one sketch.
     """
+    names = ["field_name", "group_key", "n", "probability", "value", "rank_error"]
 
     def read(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.zeros(CELLS, np.int64)
         s[pdf["cell"].to_numpy()] = pdf["n"].to_numpy()
         n = int(s[STARTS[LEVELS]])
-        if n <= 0:
-            return pd.DataFrame({"field_name": [], "group_key": [], "n": [], "probability": [], "value": []})
-        found = [invert(s, max(1, int(np.ceil(p * n)))) for p in probabilities]
-        return pd.DataFrame({"field_name": pdf["field_name"].iloc[0], "group_key": pdf["group_key"].iloc[0], "n": n, "probability": probabilities, "value": found})
-
-    return sketches.groupBy("field_name", "group_key").applyInPandas(read, "field_name string, group_key string, n long, probability double, value double")
+        field, group = pdf["field_name"].iloc[0], pdf["group_key"].iloc[0]
+        return pd.DataFrame([(field, group, n, p, *invert(s, max(1, int(np.ceil(p * n))))) for p in probabilities if n > 0], columns=names)
+
+    return sketches.groupBy("field_name", "group_key").applyInPandas(read, "field_name string, group_key string, n long, probability double, value double, rank_error double")
+
+
+def within_error(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(field_name, group_key, probability, within)``: whether the stated errors of ``found`` hold for the values ``rows(field_name, group_key, value)``."""
+    near = F.col("x").between(F.col("value") * (1 - 2.0**-PRECISION), F.col("value") * (1 + 2.0**-PRECISION))
+    named = found.filter("group_key is not null").select("field_name", "group_key", "probability", "value", "rank_error")
+    counted = rows.filter("value >= 0 and group_key is not null").groupBy("field_name", "group_key", F.col("value").alias("x")).agg(F.count(F.lit(1)).alias("m"))
+    sums = counted.join(named, ["field_name", "group_key"]).groupBy("field_name", "group_key", "probability", "rank_error").agg(
+        F.sum("m").alias("n"), F.sum(F.when((F.col("x") < F.col("value")) & ~near, F.col("m")).otherwise(0)).alias("below"), F.sum(F.when((F.col("x") <= F.col("value")) | near, F.col("m")).otherwise(0)).alias("upto")
+    )
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("probability") * F.col("n")))
+    return sums.select("field_name", "group_key", "probability", ((wanted > F.col("below") - F.col("rank_error")) & (wanted <= F.col("upto") + F.col("rank_error"))).alias("within"))

@@ -5,8 +5,8 @@ rest is cut into paragraphs and sentences, sentences of English prose are told
 from notices, logs, sequences and other languages by their share of English
 function words, and the prose is graded by six classic readability formulas
 over sentence lengths, letters and syllables.  The median of the six grades is
-the document's grade; fixed grade limits give one of four levels.  The limits
-can be refitted on rated documents with :func:`fit_limits`.
+the document's grade; grade limits, fitted on a bounded sample of rated
+documents (:func:`fit_limits`), give one of four levels.
 
 Everything runs in one ``mapInArrow`` pass over ``(id, text)``: no shuffle, no
 state between documents, whole texts.
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# English determiners, pronouns, auxiliaries, conjunctions and
-# adverbs that no notice, log or other language of the corpus is full of.
+# English function words (determiners, pronouns, auxiliaries,
+# conjunctions, adverbs).  Running English prose has them at every turn;
+# telegraphic notices, records and other languages don't.
 FUNCTION_WORDS = frozenset(
     """
     a an the this that these those my your his her its our their some each every any another both few most neither nor
@@ -48,23 +49,27 @@ STARTERS = FUNCTION_WORDS | frozenset("no and or during early around in on at fo
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("approx", "fig", "figs", "eq", "dr", "mr", "mrs", "ms", "prof", "st", "no", "vol", "vs", "etc", "cf", "e.g", "i.e", "p.m", "a.m", "al", "jr", "sr", "ch", "sec", "ref", "pp", "p")
 
-# Grade limits between the levels 1|2, 2|3 and 3|4.
+# School grades at which primary school, lower secondary and upper secondary
+# end, roughly.  They serve where there are no ratings; else use fit_limits.
 DEFAULT_LIMITS = (5.2, 11.2, 15.9)
 
 _TAG_BLOCK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|table|body|html|head|title|blockquote|pre)\b)[^<>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
-_SCRIPT = re.compile(r"<(script|style)\b.*?</\1\s*>", re.S | re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*+>")
+_OPEN = re.compile(r"<(script|style)\b|<!--", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*+>", re.I), "style": re.compile(r"</style\s*+>", re.I), None: re.compile("-->")}
 _HEADER = re.compile(r"^(?:From|To|Cc|Bcc|Subject|Date|Sent|Reply-To|Message-ID|X-[\w-]+|Content-[\w-]+|Mime-Version):.*$", re.M | re.I)
 _BIB = re.compile(r"^#[*@%tcindex].*$", re.M)
 _LABEL = re.compile(r"^(?:#!\s*)?(?:Abstract\.\s*)?", re.M)
 _QUOTE = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
 _ATTRIBUTION = re.compile(r"^.{0,120}\bwrote:[ \t]*$", re.M)
 _PARAGRAPH = re.compile(r"\n[ \t]*\n+")
-_CITE = re.compile(r"\s*(?:\((?:see\s+)?Fig[^()]*\)|\(p\s*[<=>][^()]*\)|\[\d+(?:[,\s\d-]*)\])")
+_CITE = re.compile(r"(?<!\s)\s*+(?:\((?:see\s+)?Fig[^()]*\)|\(p\s*[<=>][^()]*\)|\[\d+(?:[,\s\d-]*)\])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_END = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)")
+_END = re.compile(r"(?<![.!?])[.!?]++[\"'”’)\]]*+(?=\s|$)")
 _BULLET = re.compile(r"^\s*(?:[•*–—·-]|\d{1,3}[.)])\s+")
-_LOST = re.compile(r"([a-z0-9]{2,})\s+([A-Z][a-z]*)(?=\s+[a-z])")
+_LOST = re.compile(r"(?<![a-z0-9])([a-z0-9]{2,}+)\s++([A-Z][a-z]*)(?=\s+[a-z])")
+_SPACE = re.compile(r"\s*+")
+WINDOW = 200
 _VOWELS = re.compile(r"[aeiouy]+")
 
 
@@ -92,13 +97,29 @@ def syllables(word: str) -> int:
     return max(n, 1)
 
 
+def without_scripts(text: str) -> str:
+    """Text without scripts, styles and comments; one that is never closed stays.  Goes through the text once."""
+    out, at, open_for_good = [], 0, set()
+    for m in _OPEN.finditer(text):
+        kind = m.group(1).lower() if m.group(1) else None
+        if m.start() < at or kind in open_for_good:
+            continue
+        end = _CLOSE[kind].search(text, m.end())
+        if end is None:
+            open_for_good.add(kind)
+            continue
+        out += [text[at : m.start()], " " if kind else ""]
+        at = end.end()
+    return "".join([*out, text[at:]])
+
+
 def clean(text: str) -> str:
     """Text without markup, mail headers, quote signs and bibliographic tags."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).replace("­", "").replace("​", "")
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "<" in text:
-        text = _TAG.sub("", _TAG_BLOCK.sub("\n\n", _SCRIPT.sub(" ", text)))
+        text = _TAG.sub("", _TAG_BLOCK.sub("\n\n", without_scripts(text)))
     if "&" in text:
         text = html.unescape(text)
     text = _BIB.sub("\n", _ATTRIBUTION.sub("\n", _HEADER.sub("\n", text)))
@@ -135,9 +156,11 @@ def sentences(paragraph: str) -> list[str]:
 def _stops(paragraph: str) -> list[str]:
     out, start = [], 0
     for m in _END.finditer(paragraph):
-        before = paragraph[start : m.start()]
+        # a window is enough: no abbreviation is longer, and a piece of white space only is no sentence
+        before = paragraph[max(start, m.start() - WINDOW) : m.start()]
         last = before.rsplit(None, 1)[-1].lower().lstrip("([\"'") if before.strip() else ""
-        after = paragraph[m.end() :].lstrip()[:1]
+        at = _SPACE.match(paragraph, m.end()).end()
+        after = paragraph[at : at + 1]
         if m.group()[0] == "." and after and (last in ABBREVIATIONS or (len(last) == 1 and last.isalpha()) or after.islower()):
             continue
         if before.strip():
@@ -194,13 +217,14 @@ _TYPES = pa.schema([("doc_id", pa.int64()), ("sentences", pa.int32()), ("words",
 
 LEAST_SENTENCES = 3
 LEAST_SHARE = 0.5
+SAMPLE = 20_000
 
 
 def _grade(limits: tuple[float, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = tuple([] for _ in _TYPES)
-            ids, texts = batch.columns
+            ids, texts, *carried = batch.columns
             for doc_id, text in zip(ids.to_pylist(), texts):
                 n, words, sylls, letters, hard, share = measure(text.as_py())
                 grade = median(grades(n, words, sylls, letters, hard)) if words else None
@@ -208,34 +232,51 @@ def _grade(limits: tuple[float, ...]):
                 level = 1 + sum(grade > x for x in limits) if prose else None
                 for column, x in zip(out, (doc_id, n, words, sylls, share, grade, prose, level)):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _TYPES)], schema=_TYPES)
+            columns = [pa.array(c, f.type) for c, f in zip(out, _TYPES)]
+            yield pa.RecordBatch.from_arrays([*columns, *carried], names=[*_TYPES.names, *("carried" for _ in carried)])
 
     return run
 
 
-def reading_levels(docs: DataFrame, limits: tuple[float, ...] = DEFAULT_LIMITS) -> DataFrame:
-    """One row per document ``(doc_id, text)``: its counts, median grade, whether it is mainly English prose, and if so its level (1 to 4)."""
-    return docs.select("doc_id", "text").mapInArrow(_grade(limits), SCHEMA)
+def reading_levels(docs: DataFrame, limits: tuple[float, ...] = DEFAULT_LIMITS, carry: str | None = None) -> DataFrame:
+    """One row per document ``(doc_id, text)``: its counts, median grade, whether it is mainly English prose, and if so its level (1 to 4).
+
+    ``carry`` names one more (string) column to pass through.
+    """
+    rows = docs.select("doc_id", "text", *([F.col(carry).cast("string").alias("carried")] if carry else []))
+    return rows.mapInArrow(_grade(limits), SCHEMA + (f", `{carry}` string" if carry else ""))
 
 
-def fit_limits(levels: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[float, ...]:
-    """Grade limits that misjudge the fewest of at most ``sample`` rated documents (median rating of each, smallest ids first).
+def rated_levels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(grade, rating)`` of at most ``sample`` rated documents of English prose, chosen by a hash of the id: the median rating of each.
 
     Null ratings don't count and copies of a rating count once.
     """
     rated = labels.select("doc_id", "rater", "reading_level").filter("reading_level is not null").distinct().groupBy("doc_id").agg(F.expr("percentile_disc(0.5) within group (order by reading_level)").alias("rating"))
-    rows = rated.join(levels.filter("is_prose").select("doc_id", "grade"), "doc_id").orderBy("doc_id").limit(sample).select("grade", "rating").collect()
+    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    own = docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    return reading_levels(own).filter("is_prose").join(chosen, "doc_id").select("grade", "rating")
+
+
+def fit_limits(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, ...]:
+    """Grade limits that misjudge the fewest of the :func:`rated_levels`; of limits that are equally good the middle one.
+
+    A limit without any rated document on either side is the default one.
+    """
+    rows = rated_levels(docs, labels, sample).collect()
     limits = []
     for cut, default in enumerate(DEFAULT_LIMITS, 1):
         above = sorted((r.grade, r.rating > cut) for r in rows)
+        if not above or all(up for _, up in above) or not any(up for _, up in above):
+            limits.append(default)
+            continue
         wrong = best = sum(not up for _, up in above)  # all counted as above
-        at = [above[0][0] - 1] if above else [default]
-        for k, (g, up) in enumerate(above):
+        at = [above[0][0]]
+        for k, (g, up) in enumerate(above[:-1]):
             wrong += 1 if up else -1
-            middle = (g + above[k + 1][0]) / 2 if k + 1 < len(above) else g + 1
             if wrong < best:
-                best, at = wrong, [middle]
-            elif wrong == best:
-                at.append(middle)
-        limits.append(median(at))
+                best, at = wrong, []
+            if wrong == best:
+                at.append((g + above[k + 1][0]) / 2)
+        limits.append(at[len(at) // 2])
     return tuple(sorted(limits))
