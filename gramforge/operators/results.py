@@ -170,7 +170,7 @@ def equal_count_edges(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "edge_no int, edge double")
     places = [min(i * total / bins, total - 1) for i in range(bins + 1)]
-    wanted = spark.createDataFrame([(i, int(p), min(int(p) + 1, total - 1), p - int(p)) for i, p in enumerate(places)], "edge_no int, lower long, upper long, part double")
+    wanted = spark.createDataFrame([(i, int(p), min(int(p) + 1, total - 1), float(p - int(p))) for i, p in enumerate(places)], "edge_no int, lower long, upper long, part double")
     ends = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).selectExpr("v", "upto - n as since", "upto")
     hit = lambda c: (F.col(c) >= F.col("since")) & (F.col(c) < F.col("upto"))
     found = wanted.join(ends, hit("lower") | hit("upper"))

@@ -325,8 +325,8 @@ SQL = {
     "best_cells": f"WITH {_JOINED}, b AS (SELECT run_id, index_size = min(index_size) OVER (PARTITION BY workload) AS index_size_best, precision = max(precision) OVER (PARTITION BY workload) AS precision_best FROM j WHERE precision IS NOT NULL) SELECT * FROM b WHERE index_size_best OR precision_best",
     "key_differences": f"WITH {_METHODS}, k AS (SELECT DISTINCT method, num_keys FROM m), x AS (SELECT *, lead(num_keys) OVER (PARTITION BY method ORDER BY num_keys) - num_keys AS difference FROM k) SELECT *, round(difference::DOUBLE / nullif(num_keys, 0), 6) AS relative_difference FROM x WHERE difference IS NOT NULL",
     "key_histogram": _histogram("num_keys::DOUBLE"), "key_log_histogram": _histogram("log10(num_keys + 1)"),
-    "key_equal_counts": f"""WITH {_FILLED}, x AS (SELECT num_keys::DOUBLE AS v, row_number() OVER (ORDER BY num_keys) - 1 AS i, count(*) OVER () AS n FROM f WHERE num_keys >= 0), p AS (SELECT e AS edge_no, least(e * n / 20.0, n - 1) AS at, n FROM range(0, 21) AS r(e), (SELECT max(n) AS n FROM x))
- SELECT edge_no::INT AS edge_no, round(a.v + (b.v - a.v) * (at - floor(at)), 6) AS edge FROM p JOIN x a ON a.i = floor(at) JOIN x b ON b.i = least(floor(at) + 1, p.n - 1)""",
+    "key_equal_counts": f"""WITH {_FILLED}, x AS (SELECT num_keys::DOUBLE AS v, row_number() OVER (ORDER BY num_keys) - 1 AS i, count(*) OVER () AS n FROM f WHERE num_keys >= 0), p AS (SELECT e AS edge_no, least(e * n / 20.0, n - 1) AS place, n FROM range(0, 21) AS r(e), (SELECT max(n) AS n FROM x))
+ SELECT edge_no::INT AS edge_no, round(a.v + (b.v - a.v) * (place - floor(place)), 6) AS edge FROM p JOIN x a ON a.i = floor(place) JOIN x b ON b.i = least(floor(place) + 1, p.n - 1)""",
     "prediction_errors": f"WITH {_STATS} SELECT stat_id, round(abs(num_after_filter - match_count)::DOUBLE / nullif(match_count, 0), 6) AS prop_error, round(match_count::DOUBLE / CASE WHEN num_after_filter = 0 THEN 1 ELSE num_after_filter END, 9) AS precision FROM s",
     "pattern_selectivities": f"SELECT pattern, round(count(*) FILTER (regexp_matches(text, pattern))::DOUBLE / count(*), 9) AS selectivity FROM {_D} CROSS JOIN (VALUES ('Subject: '), ('the (.*)of'), ('[0-9]{{4}}')) AS q(pattern) GROUP BY pattern",
     "results_concatenated": "SELECT run_id, repeat_no, match_time, NULL::BIGINT AS num_keys FROM (SELECT DISTINCT * FROM summary) WHERE workload = 'mail' UNION ALL SELECT run_id, repeat_no, NULL, num_keys FROM (SELECT DISTINCT * FROM summary) WHERE workload = 'road'",

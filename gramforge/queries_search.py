@@ -62,7 +62,7 @@ def match_part_names(spark: SparkSession, d: str) -> DataFrame:
     return match.scan_counts(_parts(spark, d), PART_PATTERNS).select("pattern", "match_count")
 
 
-PART_PATTERNS = ["^[a-z]+ ", "(e|a)n", "o.*o", "[xyz]", "ar?d", "(.)(.)l{2}"]
+PART_PATTERNS = ["^[a-z]+ ", "(re|ho)d?", "small(.*)bolt", "[xyz]", "gear", "(.)(.)l{2}", "old ring"]
 
 
 def match_event_props(spark: SparkSession, d: str) -> DataFrame:
@@ -168,23 +168,23 @@ def postings_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return postings.lookup(_part_postings(spark, d), "an")
+    return postings.lookup(_part_postings(spark, d), "ed")
 
 
 def postings_and(spark: SparkSession, d: str) -> DataFrame:
-    return postings.in_all(_part_postings(spark, d), ["an", "el"])
+    return postings.in_all(_part_postings(spark, d), ["ed", "bo"])
 
 
 def postings_or(spark: SparkSession, d: str) -> DataFrame:
-    return postings.in_any(_part_postings(spark, d), ["an", "el", "zz"])
+    return postings.in_any(_part_postings(spark, d), ["ed", "bo", "zz"])
 
 
 def postings_minus(spark: SparkSession, d: str) -> DataFrame:
-    return postings.in_first_only(_part_postings(spark, d), "an", "el")
+    return postings.in_first_only(_part_postings(spark, d), "ed", "bo")
 
 
 def postings_xor(spark: SparkSession, d: str) -> DataFrame:
-    return postings.in_one_only(_part_postings(spark, d), "an", "el")
+    return postings.in_one_only(_part_postings(spark, d), "ed", "bo")
 
 
 def postings_member(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +252,7 @@ def lpms_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lpms_keys_of_parts(spark: SparkSession, d: str) -> DataFrame:
-    return lpms.lpms_keys(_parts(spark, d), ["linen", "burly", "(.*)forest", "blush(.+)thistle"])
+    return lpms.lpms_keys(_parts(spark, d), ["small", "bolt", "(.*)gear", "red(.+)ring"])
 
 
 def vggraph_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -424,10 +424,10 @@ SQL = {
     "part_postings": f"SELECT rec_id, gram FROM {_grams(_PARTS, 2)}",
     "postings_packed": f"SELECT gram, rec_id // 500 AS block_no, count(*) AS n, string_agg(rec_id::VARCHAR, ',' ORDER BY rec_id) AS ids FROM {_grams(_PARTS, 2)} GROUP BY ALL",
     "postings_lookup": _keep_in_all(["an"]),
-    "postings_and": f"{_keep_in_all(['an'])} INTERSECT {_keep_in_all(['el'])}",
-    "postings_or": f"{_keep_in_all(['an'])} UNION {_keep_in_all(['el'])}",
-    "postings_minus": f"{_keep_in_all(['an'])} EXCEPT {_keep_in_all(['el'])}",
-    "postings_xor": f"(({_keep_in_all(['an'])}) EXCEPT ({_keep_in_all(['el'])})) UNION (({_keep_in_all(['el'])}) EXCEPT ({_keep_in_all(['an'])}))",
+    "postings_and": f"{_keep_in_all(['ed'])} INTERSECT {_keep_in_all(['bo'])}",
+    "postings_or": f"{_keep_in_all(['ed'])} UNION {_keep_in_all(['bo'])}",
+    "postings_minus": f"{_keep_in_all(['ed'])} EXCEPT {_keep_in_all(['bo'])}",
+    "postings_xor": f"(({_keep_in_all(['ed'])}) EXCEPT ({_keep_in_all(['bo'])})) UNION (({_keep_in_all(['bo'])}) EXCEPT ({_keep_in_all(['ed'])}))",
     "postings_member": "SELECT p_partkey AS rec_id FROM part WHERE contains(p_name, 're')",
     "key_seek": f"SELECT DISTINCT gram FROM {_grams(_PARTS, 2)} WHERE gram >= 'm' ORDER BY gram LIMIT 25",
     "key_table_rows": "SELECT gram, count(DISTINCT coalesce(rec_id, -1)) AS df, (2 * octet_length(encode(gram)) + 48 + 8 * count(DISTINCT coalesce(rec_id, -1)))::BIGINT AS bytes FROM postings WHERE gram IS NOT NULL GROUP BY gram",
