@@ -251,8 +251,9 @@ def lpms_keys(spark: SparkSession, d: str) -> DataFrame:
     return lpms.lpms_keys(_docs(spark, d), _patterns(spark, d), scope="queries")
 
 
-def lpms_keys_of_parts(spark: SparkSession, d: str) -> DataFrame:
-    return lpms.lpms_keys(_parts(spark, d), ["small", "bolt", "(.*)gear", "red(.+)ring"])
+def lpms_keys_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """With the threshold over all grams of each level."""
+    return lpms.lpms_keys(_lines(spark, d), ["scanner(s?)( of | for )", "ERROR(.+)ferry", "Subject: (.*)answer"])
 
 
 def vggraph_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -317,7 +318,7 @@ QUERIES = {f.__name__: f for f in (
     match_all_documents, match_all_lines, match_one_pattern, match_dialect, match_part_names, match_event_props, filtered_by_trigrams, filtered_by_posting_lists, filtered_by_free, filtered_by_free_presuf,
     filtered_by_best, filtered_by_lpms, filtered_by_vggraph, planned_choices, gram_frequency_1, gram_frequency_2, trigram_frequency, trigram_sample, free_keys, free_keys_of_lines, free_keys_bounded, free_presuf,
     free_presuf_neighbours, free_index_size, part_postings, postings_packed, postings_lookup, postings_and, postings_or, postings_minus, postings_xor, postings_member, key_seek, key_table_rows, found_keys,
-    best_gram_counts, best_candidates, best_keys, best_keys_reduced, best_keys_of_clusters, best_distances, lpms_keys, lpms_keys_of_parts, vggraph_keys, vggraph_all_selectable, vggraph_until_selective,
+    best_gram_counts, best_candidates, best_keys, best_keys_reduced, best_keys_of_clusters, best_distances, lpms_keys, lpms_keys_of_lines, vggraph_keys, vggraph_all_selectable, vggraph_until_selective,
     vggraph_threshold, jaccard_edges, graph_centrality, vgopt_keys, graph_coverage, motif_patterns, motif_matches, pattern_plans,
 )}
 
