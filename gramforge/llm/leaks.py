@@ -29,7 +29,8 @@ Latent semantic retrieval with an exact check of the order of words:
    cover ``SHARE`` of the item's words, or if the words do and the triples
    still cover half of that; for a paraphrase, whose triples are broken,
    the words must cover ``SHARE`` and a quarter more and the item's rarest
-   words (its answer) must be there.
+   words (its answer) must be there, or triples of every second word must
+   cover ``SHARE``.
 
 Steps 4 and 5 run in one pass over the documents without a shuffle; texts are
 whole and never leave their task.
@@ -250,6 +251,8 @@ def latent_basis(sample: DataFrame, n_sample: int, items: list[np.ndarray], idf:
         total = _gram_product(items, idf, basis)
         for r in sample.mapInArrow(_partial(idf, basis), "terms binary, sums binary").toLocalIterator():
             used = np.frombuffer(r.terms, np.int32)
+            if not len(used):
+                continue
             total[used] += weight * np.frombuffer(r.sums, np.float32).reshape(len(used), -1)
         if last == 1:  # the directions of the basis in order of their singular values
             order = np.linalg.eigh(basis.T @ total)[1][:, ::-1]
@@ -308,7 +311,10 @@ def judge(item: np.ndarray, text: np.ndarray, answer: set[int]) -> tuple[bool, f
     span, step = max(int(1.5 * n), 8), max(n // 4, 1)
     loose = max(common_words(item, text[a : a + span]) for a in range(0, max(len(text) - span, 0) + step, step)) / n
     there = len(answer & set(text.tolist())) / max(len(answer), 1)
-    return exact >= SHARE or loose >= SHARE and exact >= SHARE / 2 or loose >= 1.25 * SHARE and there >= 0.5, exact, loose
+    leak = exact >= SHARE or loose >= SHARE and exact >= SHARE / 2 or loose >= 1.25 * SHARE and there >= 0.5
+    if not leak and loose >= SHARE:  # every second word may be replaced: triples over one word each
+        leak = max(triple_cover(item[a::2], text[b::2]) for a in (0, 1) for b in (0, 1)) / n >= SHARE
+    return leak, exact, loose
 
 
 SCHEMA = "item_id long, doc_id long, cosine double, exact_share double, word_share double"
