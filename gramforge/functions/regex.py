@@ -69,7 +69,7 @@ def _class_char(c: str) -> str:
 
 
 _BOUNDS = re.compile(r"\{([0-9]+)(,([0-9]*))?\}")
-_NAME = re.compile(r"P?<([A-Za-z_]\w*)>")
+_NAME = re.compile(r"P<([A-Za-z_]\w*)>")
 _FLAGS = re.compile(r"([imsU]*)(?:-([imsU]+))?([:)])")
 _HEX = re.compile(r"\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2})")
 _OCTAL = re.compile(r"[0-7]{1,2}")

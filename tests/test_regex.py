@@ -40,9 +40,9 @@ def test_literals(pattern, compat, sound):
 TEXTS = ["", "a", "ab", "AB", "aB", "abbb", "aaab", "x123", "abababab c", "a\n", "a\r", "x\x0by", "x[y", "a&&b", "a{,2}b", "αβγ", "éa", "12 ab", "foo.bar", "a-b", "ab\ncd", "KK", "ſ s", "abc d", "(ab(ab", "bbbb", "q" * 30]
 PATTERNS = [
     "a$", "a.", r"\s", "x[[]y", "[a&&b]&", "a{,2}b", "a{2}", "x[0-9]{3}", "(ab){4} c", "a(?i)b", "(?i)a(?-i:b)", "(?i)(?-i)a", r"\Qab\E*", r"\Q(ab\E{2}", "[[:^digit:]]", r"[\pL]", r"\p{Greek}", r"\P{Greek}", r"[^\p{L}]", "(?s)b.c", "(?m)^cd", "(?m)b$",
-    r"\bab\b", r"\Bb", r"(?i)k", r"(?i)S", "(?U)a+b", "a|b*", "(a|b)*c", "[a-c-]", "[]a]", "[^]a]", r"\x41", r"\x{e9}", r"\101", r"[\d\s]b", r"[^\D]", "b{2,}$", "^a{3}b", "a??b", "(?P<n>a)b", "(?<n>a)b", "(?:ab)+", "()", "a||b", r"\.b", r"[\W]", "[[:alpha:]][[:space:]]",
+    r"\bab\b", r"\Bb", r"(?i)k", r"(?i)S", "(?U)a+b", "a|b*", "(a|b)*c", "[a-c-]", "[]a]", "[^]a]", r"\x41", r"\x{e9}", r"\101", r"[\d\s]b", r"[^\D]", "b{2,}$", "^a{3}b", "a??b", "(?P<n>a)b", "(?:ab)+", "()", "a||b", r"\.b", r"[\W]", "[[:alpha:]][[:space:]]",
 ]
-INVALID = ["a(?=b)", r"(a)\1", "x{1001}", "a**", "a+*", "a{2}{3}", "(a{100}){100}", "(", ")", "[", "[z-a]", r"\p{Foo}", r"\q", "(?<!a)b", "*", "+a", "a{3,2}", "[[:foo:]]", r"\8", "(?P<n>a)(?P<n>b)", "\\"]
+INVALID = ["a(?=b)", r"(a)\1", "x{1001}", "a**", "a+*", "a{2}{3}", "(a{100}){100}", "(", ")", "[", "[z-a]", r"\p{Foo}", r"\q", "(?<!a)b", "*", "+a", "a{3,2}", "[[:foo:]]", r"\8", "(?<n>a)b", "\\"]
 
 
 def test_translations_against_the_dialect_itself(spark):
@@ -115,3 +115,7 @@ def test_helpers():
     assert rx.remove_escapes(r"a\.b\\") == "a.b"
     assert rx.is_special("") and rx.is_special("a.b") and rx.is_special(r"a\d") and not rx.is_special(r"a\.b")
     assert [rx.prosite_to_regex(m) for m in ("[AC]-x-V-x(4)-{ED}.", "<A-x-[ST](2)-x(0,1)-V", "K-x(2)-[RL]>", "A-[GS>]")] == ["[AC].V.{4}[^ED]", "^A.[ST]{2}.{0,1}V", "K.{2}[RL]$", r"A([GS]|\z)"]
+
+
+def test_group_names_are_used_once():
+    assert rx.is_valid("(?P<a>x)(?P<b>y)") and not rx.is_valid("(?P<n>a)(?P<n>b)")
