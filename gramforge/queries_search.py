@@ -80,7 +80,7 @@ def filtered_by_posting_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filtered_by_free(spark: SparkSession, d: str) -> DataFrame:
-    return _with_precision(engine.build(_docs(spark, d), None, "FREE", c=0.1, upper_n=4).match(_patterns(spark, d)))
+    return _with_precision(engine.build(_docs(spark, d), None, "FREE", c=0.1, upper_n=3).match(_patterns(spark, d)))
 
 
 def filtered_by_free_presuf(spark: SparkSession, d: str) -> DataFrame:
@@ -383,19 +383,26 @@ _TYPES = f"""t AS (SELECT DISTINCT p_type AS query_id FROM part WHERE p_type IS
  p AS (SELECT a.query_id AS q1, b.query_id AS q2, a.w AS w1, b.w AS w2, coalesce(s, 0) AS s FROM o a JOIN o b ON a.query_id <= b.query_id LEFT JOIN i ON i.q1 = a.query_id AND i.q2 = b.query_id)"""
 
 _ALL_DOCS = _counts(_DOCS, "(SELECT DISTINCT pattern FROM queries WHERE pattern IS NOT NULL)")
-_TRIGRAM_CANDIDATES = f"""WITH lit AS (SELECT query_id, literal FROM {_literal_table()} WHERE length(literal) >= 3),
- pieces AS (SELECT DISTINCT query_id, literal[i:i + 2] AS gram FROM lit, range(1, 60) AS r(i) WHERE i <= length(literal) - 2),
- g AS (SELECT DISTINCT rec_id, gram FROM {_grams(_DOCS, 3)} WHERE gram IN (SELECT gram FROM pieces)),
- known AS (SELECT p.* FROM pieces p WHERE gram IN (SELECT gram FROM g)),
- need AS (SELECT query_id, count(*) AS n FROM known GROUP BY query_id),
+
+
+def _filtered(known: str, postings: str) -> str:
+    """CTEs from the keys of each query, ``known(query_id, gram)``, and their records, ``g(rec_id, gram)``, to the counts of each pattern."""
+    return f"""known AS ({known}), g AS ({postings}), need AS (SELECT query_id, count(*) AS n FROM known GROUP BY query_id),
  cand AS (SELECT query_id, rec_id FROM known JOIN g USING (gram) JOIN need USING (query_id) GROUP BY query_id, rec_id, n HAVING count(*) = n),
- cc AS (SELECT query_id, count(*) AS c FROM cand GROUP BY query_id),
- m AS ({_counts(_DOCS, "(SELECT DISTINCT pattern FROM queries)")}),
+ cc AS (SELECT query_id, count(*) AS c FROM cand GROUP BY query_id), m AS ({_counts(_DOCS, "(SELECT DISTINCT pattern FROM queries)")}),
  f AS (SELECT q.pattern, CASE WHEN need.n IS NULL THEN (SELECT count(*) FROM {_DOCS}) ELSE coalesce(c, 0) END::BIGINT AS num_after_filter, match_count
        FROM (SELECT min(query_id) AS query_id, pattern FROM queries GROUP BY pattern) q JOIN m ON m.pattern = q.pattern LEFT JOIN need ON need.query_id = q.query_id LEFT JOIN cc ON cc.query_id = q.query_id)
  SELECT *, CASE WHEN num_after_filter > 0 THEN match_count::DOUBLE / num_after_filter END AS precision FROM f"""
 
 
+_TRIGRAM_CANDIDATES = f"""WITH lit AS (SELECT query_id, literal FROM {_literal_table()} WHERE length(literal) >= 3), t AS (SELECT DISTINCT rec_id, gram FROM {_grams(_DOCS, 3)}),
+ pieces AS (SELECT DISTINCT query_id, literal[i:i + 2] AS gram FROM lit, range(1, 60) AS r(i) WHERE i <= length(literal) - 2),
+ {_filtered("SELECT * FROM pieces WHERE gram IN (SELECT gram FROM t)", "SELECT * FROM t WHERE gram IN (SELECT gram FROM pieces)")}"""
+_FREE_CANDIDATES = f"""WITH {_free(_DOCS, 0.1)}, lit AS (SELECT query_id, row_number() OVER () AS lit_no, literal FROM {_literal_table()}),
+ hits AS (SELECT query_id, lit_no, i, arg_min(gram, length(gram)) AS gram FROM lit, range(1, 60) AS r(i) JOIN keys ON starts_with(literal[i:], gram) WHERE i <= length(literal) GROUP BY ALL),
+ {_filtered("SELECT DISTINCT query_id, gram FROM hits", f"SELECT * FROM (SELECT * FROM {_grams(_DOCS, 1)} UNION ALL SELECT * FROM {_grams(_DOCS, 2)} UNION ALL SELECT * FROM {_grams(_DOCS, 3)}) WHERE gram IN (SELECT gram FROM hits)")}"""
+
+
 def _motif(m: str) -> str:
     """PROSITE notation rewritten by SQL's own replacements."""
     s = f"rtrim({_text(m)}, '.')"
@@ -413,6 +420,7 @@ SQL = {
     "match_event_props": _counts("(SELECT props AS text FROM events WHERE props IS NOT NULL)", _values(['"k": ?[0-9]*7', "[13579]}$", "(a|b|c)+"])),
     "filtered_by_trigrams": _TRIGRAM_CANDIDATES,
     "filtered_by_posting_lists": _TRIGRAM_CANDIDATES,
+    "filtered_by_free": _FREE_CANDIDATES,
     "filtered_by_free_presuf": _ALL_DOCS, "filtered_by_best": _ALL_DOCS, "filtered_by_lpms": _ALL_DOCS, "filtered_by_vggraph": _ALL_DOCS,
     "planned_choices": f"SELECT {_text(CHOICES)} AS pattern, count(*) FILTER ((contains(text, 'Sub') OR contains(text, 'Fro')) AND (contains(text, 'pri') OR contains(text, 'wat'))) AS num_after_filter, count(*) FILTER (regexp_matches(text, {_text(CHOICES)})) AS match_count FROM {_DOCS}",
     "gram_frequency_1": f"SELECT * FROM {_df(_DOCS, 1)}", "gram_frequency_2": f"SELECT * FROM {_df(_DOCS, 2)}", "trigram_frequency": f"SELECT * FROM {_df(_DOCS, 3)}",
