@@ -20,9 +20,8 @@
    :func:`wide` with typed columns).
 
 Lines never move to find their header: the catalog of files (one row each,
-with the header line) is broadcast if its size allows it, else each of its rows
-is repeated over ``SALTS`` and lines are spread by their number, so a large
-file is no large task.
+with the header line) is broadcast if its size allows it, else it is joined by
+file and block of ``BLOCK`` lines, so a large file is no large task.
 
 Edge cases: exact copies of file rows and of lines count once; lines may come
 in any order; carriage returns at line ends are taken off; blank cells, JSON
@@ -52,7 +51,7 @@ from gramforge.plans.cut import checkpointed, written
 CONFIGURATION = "cfg"
 INTEGER, DECIMAL, TEXT = 1, 2, 3
 TYPE_NAMES = {INTEGER: "integer", DECIMAL: "decimal", TEXT: "text"}
-SALTS = 64
+BLOCK = 50_000
 _INTEGER = re.compile(r"[+-]?[0-9]+")
 _DECIMAL = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
 _EXACT = Context(prec=100)
@@ -204,24 +203,28 @@ def listed(files: DataFrame) -> DataFrame:
 
 
 def catalog(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(file_id, series, seq, kind, file_format, header)``, kept as a table."""
-    headers = lines.filter("line_no = 1 and line is not null").groupBy("file_id").agg(F.min("line").alias("header"))
-    return written(listed(files).join(headers, "file_id", "left"))
+    """``(file_id, series, seq, kind, file_format, header, last_block)``, kept as a table."""
+    heads = lines.groupBy("file_id").agg(F.min(F.when(F.col("line_no") == 1, F.col("line"))).alias("header"), F.max(_block()).alias("last_block"))
+    return written(listed(files).join(heads, "file_id", "left"))
+
+
+def _block() -> Column:
+    """The number of a line's block in its file."""
+    return F.greatest(F.coalesce(F.floor(F.col("line_no") / BLOCK), F.lit(0)), F.lit(0)).cast("int")
 
 
 def _located(lines: DataFrame, about: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
-    """Lines with the ``columns`` of their file from ``about(file_id, ...)``, a written table.
+    """Lines with the ``columns`` of their file from ``about(file_id, last_block, ...)``, a written table.
 
     Spark knows the size of a written table and broadcasts it below its own
-    limit; a larger one is joined by file and salt.
+    limit; a larger one is joined by file and block of lines.
     """
-    rows, right = lines.select("file_id", "line_no", "line"), about.select("file_id", *columns)
+    rows, right = lines.select("file_id", "line_no", "line"), about.select("file_id", "last_block", *columns)
     conf = lines.sparkSession._jsparkSession.sessionState().conf()
     if int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= int(conf.autoBroadcastJoinThreshold()):
-        return rows.join(F.broadcast(right), "file_id", how)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(right, ["file_id", "salt"], how).drop("salt")
+        return rows.join(F.broadcast(right.drop("last_block")), "file_id", how)
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("last_block", F.lit(0))))).drop("last_block")
+    return rows.withColumn("block", _block()).join(right, ["file_id", "block"], how).drop("block")
 
 
 _COLUMNS = ["file_id", "line_no", "line", "file_format", "header"]
@@ -268,7 +271,7 @@ def _steps(known: DataFrame, prints: DataFrame) -> DataFrame:
 
 def _wanted_cells(known: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """:func:`values` of just the fields ``wanted(file_id, field)``: a file's fields are few, its lines stay where they are."""
-    per_file = written(wanted.groupBy("file_id").agg(F.collect_set("field").alias("wanted")).join(known.select("file_id", "file_format", "header"), "file_id"))
+    per_file = written(wanted.groupBy("file_id").agg(F.collect_set("field").alias("wanted")).join(known.select("file_id", "file_format", "header", "last_block"), "file_id"))
     found = _located(lines, per_file, ["file_format", "header", "wanted"]).select(*_COLUMNS, "wanted").mapInArrow(_cells(True), CELL_SCHEMA)
     return values(found.filter("value is not null"))
 

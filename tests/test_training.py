@@ -89,7 +89,8 @@ def test_versions_lineage_and_the_wide_table(spark):
     assert {(r.file_id, r.cfg, int(r.a), r.z) for r in wide.collect()} == {(1, "c1", 1, "none"), (2, "c1", 1, "none"), (3, "c1", 1, "none"), (3, "c2", -1, "none"), (4, "c1", -1, "none"), (4, "c2", 5, "none")}
 
 
-def test_large_catalogs_are_joined_with_salts(spark):
+def test_large_catalogs_are_joined_by_blocks_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(schema_drift, "BLOCK", 50)
     files = [(1, "s", 1, "csv"), (2, "s", 2, "csv")]
     texts = {1: ["cfg,a"] + [f"c{i},{i}" for i in range(200)], 2: ["cfg,b"] + [f"c{i},{i}.0" for i in range(200)]}
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -97,7 +98,7 @@ def test_large_catalogs_are_joined_with_salts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         known, lines, fields, change = drift(spark, files, texts)
         plan = schema_drift._located(lines, known, ["header"])._jdf.queryExecution().toString()
-        assert "Broadcast" not in plan and "salt" in plan
+        assert "Broadcast" not in plan and "block" in plan and known.agg({"last_block": "max"}).first()[0] == 4
         assert kinds(change) == {(2, "b", "renamed")}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
