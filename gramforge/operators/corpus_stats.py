@@ -6,6 +6,7 @@ small row per different length is ever sorted.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +96,6 @@ def literal_rows(queries: DataFrame, pattern: str = "pattern", mode: str = "comp
 
     The scanner is Python; it runs once per batch and different pattern.
     """
-    import pandas as pd
-
     def scan(patterns: pd.Series) -> pd.Series:
         found = {p: rx.literals(p, mode) for p in patterns.dropna().unique()}
         return patterns.map(lambda p: found.get(p, []))
