@@ -197,12 +197,17 @@ def _rows(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.n
 def _sum_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows summed by index, as a dense matrix."""
     out = np.zeros((n, rows.shape[1]), np.float32)
+    _add_by(out, index, rows)
+    return out
+
+
+def _add_by(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """Rows added to ``out`` by index."""
     if len(index):
         order = np.argsort(index, kind="stable")
         index = index[order]
         start = np.flatnonzero(np.diff(index, prepend=-1))
-        out[index[start]] = np.add.reduceat(rows[order], start, axis=0)
-    return out
+        out[index[start]] += np.add.reduceat(rows[order], start, axis=0)
 
 
 def _fold(term: np.ndarray, weight: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -216,23 +221,38 @@ def _fold(term: np.ndarray, weight: np.ndarray, first: np.ndarray, basis: np.nda
     return out
 
 
-def _gram_product(passages: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, block: int = 2000) -> np.ndarray:
-    """A' (A basis) of these passages."""
-    out = np.zeros_like(basis)
+def _gram_product(passages: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, out: np.ndarray, block: int = 64) -> None:
+    """A' (A basis) of these passages added to ``out``, a block at a time, so that little more than the result is held."""
     for a in range(0, len(passages), block):
         row, term, value = _rows(passages[a : a + block], idf)
         left = _sum_by(row, value[:, None] * basis[term], min(block, len(passages) - a))
-        out += _sum_by(term, value[:, None] * left[row], len(idf))
-    return out
+        _add_by(out, term, value[:, None] * left[row])
+
+
+_SCALE = np.float32(1024)  # keeps the entries of an orthonormal basis in the range of half precision
+
+
+def _halved(a: np.ndarray) -> np.ndarray:
+    """Half precision for the way between driver and tasks; its relative error of 2**-11 doesn't matter to a subspace or a cosine."""
+    return (a * _SCALE).astype(np.float16)
+
+
+def _restored(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.float32) / _SCALE
 
 
 def _partial(idf: np.ndarray, basis: np.ndarray):
+    sent = _halved(basis)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis = _restored(sent)
         total = np.zeros_like(basis)
         for batch in batches:
-            total += _gram_product([np.array(x, np.int64) for x in batch.column(0).to_pylist()], idf, basis)
+            _gram_product([np.array(x, np.int64) for x in batch.column(0).to_pylist()], idf, basis, total)
         used = np.flatnonzero(total.any(axis=1)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"terms": [used.tobytes()], "sums": [total[used].astype(np.float32).tobytes()]})
+        total = total[used]
+        scale = np.float32(np.abs(total).max(initial=1e-6))
+        yield pa.RecordBatch.from_pydict({"terms": [used.tobytes()], "sums": [_halved(total / scale).tobytes()], "scale": [float(scale)]})
 
     return run
 
@@ -245,15 +265,16 @@ def latent_basis(sample: DataFrame, n_sample: int, items: list[np.ndarray], idf:
     ``SAMPLE_TASKS`` tasks are, too; each is (terms of the block x rank).
     """
     width = min(rank + OVERSAMPLE, len(idf))
-    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width)).astype(np.float32))[0]
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width), np.float32))[0]
     weight = len(items) / max(n_sample, 1)
     for last in range(ITERATIONS, 0, -1):
-        total = _gram_product(items, idf, basis)
-        for r in sample.mapInArrow(_partial(idf, basis), "terms binary, sums binary").toLocalIterator():
+        total = np.zeros_like(basis)
+        _gram_product(items, idf, basis, total)
+        for r in sample.mapInArrow(_partial(idf, basis), "terms binary, sums binary, scale double").toLocalIterator():
             used = np.frombuffer(r.terms, np.int32)
             if not len(used):
                 continue
-            total[used] += weight * np.frombuffer(r.sums, np.float32).reshape(len(used), -1)
+            total[used] += np.float32(weight * r.scale) * _restored(np.frombuffer(r.sums, np.float16).reshape(len(used), -1))
         if last == 1:  # the directions of the basis in order of their singular values
             order = np.linalg.eigh(basis.T @ total)[1][:, ::-1]
             basis = basis @ order
@@ -342,6 +363,12 @@ class Searcher:
             best = {w: x / int((p == w).sum()) for w, x in best.items()}
             self.answers.append(set(sorted(best, key=lambda w: (-best[w], w))[: max(2, len(best) // 5)]))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"basis": _halved(self.basis)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, basis=_restored(state["basis"]))
+
     def candidates(self, numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(document, item, passage, cosine) of the passages of many documents, one after the other in ``numbers``.
 

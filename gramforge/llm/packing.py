@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 OPEN = 64
 ITEMS_PER_TASK = 100_000
+FLUSH = 20_000  # pieces held before they are sent on
 
 SCHEMA = "capacity_id int, item_id long, size long, piece_no int, n_pieces int, piece_size long, bin_id string, bin_offset long"
 _TYPES = pa.schema([("capacity_id", pa.int32()), ("item_id", pa.int64()), ("size", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("piece_size", pa.int64()), ("bin_id", pa.string()), ("bin_offset", pa.int64())])
@@ -74,8 +75,15 @@ class BestFit:
 def _pack(capacities: list[tuple[int, int]], most_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = [(k, c, BestFit(c, most_open)) for k, c in capacities]
+        out: tuple[list, ...] = tuple([] for _ in _TYPES)
+
+        def flushed() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _TYPES)], schema=_TYPES)
+            for c in out:
+                c.clear()
+            return rows
+
         for batch in batches:
-            out: tuple[list, ...] = tuple([] for _ in _TYPES)
             part, ids, sizes = (c.to_pylist() for c in batch.columns)
             for p, item, size in zip(part, ids, sizes):
                 for k, capacity, packer in packers:
@@ -86,7 +94,9 @@ def _pack(capacities: list[tuple[int, int]], most_open: int):
                         number, offset = packer.put(piece)
                         for column, x in zip(out, (k, item, size, no, pieces, piece, f"{p}-{number}", offset)):
                             column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _TYPES)], schema=_TYPES)
+                        if len(out[0]) >= FLUSH:
+                            yield flushed()
+        yield flushed()
 
     return run
 
