@@ -48,7 +48,7 @@ def read_lines(spark: SparkSession, path: str, most: int | None = None, recursiv
 
 def read_documents(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """``(path, text)``: one record per file below a folder, without carriage returns and its final newline."""
-    read = lambda: spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\n\z", "").alias("text"))
+    read = lambda: spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\n\z", "").alias("text"))
     return _capped(_existing(read, spark, "path string, text string"), most)
 
 
