@@ -114,7 +114,7 @@ def tree_plans(patterns: list[str], keys: set[str]) -> dict[str, tuple]:
 # -- one pass over the texts ------------------------------------------------------------------------------------
 
 
-class _Finder:
+class Finder:
     """Which of many strings a text contains: one automaton for all of them where it is installed, else one search each."""
 
     def __init__(self, strings: set[str]) -> None:
@@ -151,7 +151,7 @@ def _arrow_codes(jobs: list[tuple[int, str, tuple, tuple]], chosen: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = _Finder({x for _, _, plan, need in jobs for x in boolean.literals(need) + ([] if chosen else boolean.literals(plan))})
+        find = Finder({x for _, _, plan, need in jobs for x in boolean.literals(need) + ([] if chosen else boolean.literals(plan))})
         searches: dict[int, object] = {}  # compiled when a text first gets that far
         compiled = {n: (p, plan, need) for n, p, plan, need in jobs}
         # patterns by the rarest kind of evidence: those that need some string are only looked at when it is there

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramforge.functions.grams import exploded
-from gramforge.operators.match import _Finder
+from gramforge.operators.match import Finder
 from gramforge.plans.cut import written
 
 KEYS = "gram string, df long"
@@ -50,7 +50,7 @@ def _string_counts(strings: set[str], per_record: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ({x for x in strings if len(x) == k} for k in (1, 2))
-        find = _Finder({x for x in strings if len(x) > 2})
+        find = Finder({x for x in strings if len(x) > 2})
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):

@@ -1 +1 @@
-"""Cutting of lineage, query plans of regular expressions."""
+"""AND/OR plans of regular expressions, cutting of lineage."""

@@ -29,7 +29,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
     return f"{checkpoint_dir(spark)}/gramforge-{spark.sparkContext.applicationId}"
 
 
@@ -41,12 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a Parquet table in the shared folder (columnar, so later reads prune columns)."""
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete the tables that :func:`written` made in this application; no result that reads them may be used afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,16 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramforge.functions import grams
 from gramforge.operators import corpus_stats
 from gramforge.operators.selectors import free
-from gramforge.functions import grams
-from gramforge.plans.cut import _own_folder
+from gramforge.plans.cut import own_folder
+from gramforge.queries_search import _DOCS, _free
 from gramforge.sources import readers, sinks
 from gramforge.sources.tables import table
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{_own_folder(spark)}/files-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _text_files(spark: SparkSession, d: str, name: str, column: str) -> str:
@@ -130,6 +131,7 @@ QUERIES = {f.__name__: f for f in (
 _LINES = "(SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
 
 SQL = {
+    "files_keys": f"WITH {_free(_DOCS, 0.1)} SELECT replace(replace(replace(gram, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS gram FROM keys WHERE length(gram) <= 2",
     "files_lines": f"SELECT replace(line, chr(13), '') AS text, count(*) AS n FROM {_LINES} GROUP BY ALL",
     "files_stats_lines": f"SELECT rtrim(line, chr(13)) AS text, count(*) AS n FROM {_LINES} WHERE rtrim(line, chr(13)) <> '' GROUP BY ALL",
     "files_csv_field": "SELECT string_split(x, ',')[10] AS text, count(*) AS n FROM (SELECT replace(unnest(string_split(line, chr(10))), chr(13), '') AS x FROM result_lines WHERE line IS NOT NULL) WHERE len(string_split(x, ',')) >= 10 GROUP BY ALL",

@@ -142,7 +142,7 @@ def test_repeated_and_null_queries(spark):
 
 @pytest.mark.parametrize("method", engine.METHODS)
 def test_empty_corpus(spark, method):
-    index = engine.build(corpus(spark, []) if False else spark.createDataFrame([], "rec_id long, text string"), ["abc"], method)
+    index = engine.build(spark.createDataFrame([], "rec_id long, text string"), ["abc"], method)
     assert index.keys.count() == 0
     assert [tuple(r) for r in index.match(["abc"]).collect()] == [("abc", 0, 0)]
 
@@ -217,7 +217,7 @@ def test_linear_program():
 def test_lpms_is_sound(spark, options):
     words = ["an", "York", "Franc", "kane"]
     index = engine.build(corpus(spark, words), words, "LPMS", **options)
-    assert {r.pattern: r.match_count for r in index.match(words).collect()} == {"an": 3 - 0 if False else sum("an" in w for w in words), "York": 1, "Franc": 1, "kane": 1}
+    assert {r.pattern: r.match_count for r in index.match(words).collect()} == {"an": sum("an" in w for w in words), "York": 1, "Franc": 1, "kane": 1}
 
 
 def test_cover_takes_the_cheapest_grams():
