@@ -257,6 +257,24 @@ def _partial(idf: np.ndarray, basis: np.ndarray):
     return run
 
 
+def _turn(a: np.ndarray, by: np.ndarray, rows: int = 2048) -> None:
+    """``a @ by`` in place, some rows at a time."""
+    by = by.astype(np.float32)
+    for k in range(0, len(a), rows):
+        a[k : k + rows] = a[k : k + rows] @ by
+
+
+def _orthonormalise(a: np.ndarray, rows: int = 2048) -> None:
+    """Columns that span the same space, in place; directions without weight become nothing."""
+    gram = np.zeros((a.shape[1], a.shape[1]))
+    for k in range(0, len(a), rows):
+        part = a[k : k + rows].astype(np.float64)
+        gram += part.T @ part
+    weight, turn = np.linalg.eigh(gram)
+    used = weight > weight.max(initial=0.0) * 1e-10
+    _turn(a, turn * np.where(used, 1 / np.sqrt(np.where(used, weight, 1.0)), 0.0))
+
+
 def latent_basis(sample: DataFrame, n_sample: int, items: list[np.ndarray], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Orthonormal columns (terms x rank) of the leading right singular space, by distributed randomised SVD.
 
@@ -265,7 +283,8 @@ def latent_basis(sample: DataFrame, n_sample: int, items: list[np.ndarray], idf:
     ``SAMPLE_TASKS`` tasks are, too; each is (terms of the block x rank).
     """
     width = min(rank + OVERSAMPLE, len(idf))
-    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width), np.float32))[0]
+    basis = np.random.default_rng(7).standard_normal((len(idf), width), np.float32)
+    _orthonormalise(basis)
     weight = len(items) / max(n_sample, 1)
     for last in range(ITERATIONS, 0, -1):
         total = np.zeros_like(basis)
@@ -276,11 +295,11 @@ def latent_basis(sample: DataFrame, n_sample: int, items: list[np.ndarray], idf:
                 continue
             total[used] += np.float32(weight * r.scale) * _restored(np.frombuffer(r.sums, np.float16).reshape(len(used), -1))
         if last == 1:  # the directions of the basis in order of their singular values
-            order = np.linalg.eigh(basis.T @ total)[1][:, ::-1]
-            basis = basis @ order
+            _turn(basis, np.linalg.eigh((basis.T @ total).astype(np.float64))[1][:, ::-1])
         else:
-            basis = np.linalg.qr(total)[0]
-    return basis[:, : min(rank, width)].astype(np.float32)
+            basis = total
+            _orthonormalise(basis)
+    return np.ascontiguousarray(basis[:, : min(rank, width)])
 
 
 def triple_cover(item: np.ndarray, text: np.ndarray) -> int:
@@ -348,8 +367,10 @@ class Searcher:
     def __init__(self, vocabulary: Vocabulary, ids: list[int], passages: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> None:
         self.vocabulary, self.ids, self.passages, self.basis = vocabulary, ids, passages, basis
         self.idf = idf.astype(np.float32)
-        row, term, value = _rows([vocabulary.hits(p)[1] for p in passages], idf)
-        latent = _sum_by(row, value[:, None] * basis[term], len(passages))
+        latent = np.zeros((len(passages), basis.shape[1]), np.float32)
+        for a in range(0, len(passages), 64):
+            row, term, value = _rows([vocabulary.hits(p)[1] for p in passages[a : a + 64]], idf)
+            latent[a : a + 64] = _sum_by(row, value[:, None] * basis[term], len(passages[a : a + 64]))
         self.queries = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)).T.copy()
         self.longest = max(map(len, passages), default=0)
         # the answer: the rarest fifth of an item's words, by the rarest term they are part of
@@ -463,7 +484,7 @@ def prepared(docs: DataFrame, vocabulary: Vocabulary, ids: list[int], passages:
     # about three passages a document: a modulus that draws about SAMPLE of them
     stats = checkpointed(texts.mapInArrow(_count(vocabulary, max(1, 3 * n_docs // SAMPLE)), STATS_SCHEMA))
     df = np.zeros(len(vocabulary.terms), np.int64)
-    for r in stats.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most the terms of a block of items
+    for r in stats.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the terms of a block of items
         df[r.term] = r.n
     idf = np.log((n_docs + 1) / (df + 1)) + 1.0
     sample = stats.filter("sample is not null").select("sample").orderBy(F.xxhash64("sample"), "sample").limit(SAMPLE).repartition(SAMPLE_TASKS)
