@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from gramforge.functions.grams import exploded
 from gramforge.operators.match import query_literals
 from gramforge.operators.postings import document_frequency
-from gramforge.operators.selectors.common import key_table, string_counts
+from gramforge.operators.selectors.common import key_table, string_counts, substrings_of
+
+STRINGS_A_PASS = 200_000
 
 
 def cover(costs: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -25,30 +27,37 @@ def cover(costs: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray
 
     The dual, max ``bounds @ y`` with ``rows.T @ y <= costs``, starts feasible
     at 0: a simplex tableau (least index, so it never cycles) ends with ``x`` in
-    the last row.  A row that no variable helps is left unfulfilled.
+    the last row.  Only the columns outside the basis are kept, and each
+    variable is scaled by its greatest entry: entries of very unlike sizes would
+    let rounding decide, and the least index might then cycle after all.  A row
+    that no variable helps is left unfulfilled.
     """
     helped = rows.any(axis=1) & (bounds > 0)
     a, b = rows[helped].T.astype(float), bounds[helped].astype(float)
     n, m = a.shape
-    t = np.zeros((n + 1, m + n + 1))
-    t[:n, :m], t[:n, m : m + n], t[:n, -1] = a, np.eye(n), costs
-    t[n, :m] = -b
-    basis = list(range(m, m + n))
-    while True:
-        enters = np.flatnonzero(t[n, :-1] < -1e-9)
-        if not len(enters):
-            return np.maximum(t[n, m : m + n], 0)
-        j = int(enters[0])
+    scale = a.max(axis=1, initial=0)
+    scale[scale == 0] = 1
+    t = np.zeros((n + 1, m + 1))
+    t[:n, :m], t[:n, -1], t[n, :m] = a / scale[:, None], costs / scale, -b
+    basis, others = np.arange(m, m + n), np.arange(m)
+    while len(enters := np.flatnonzero(t[n, :-1] < -1e-9)):
+        j = enters[others[enters].argmin()]
         up = np.flatnonzero(t[:n, j] > 1e-9)
         if not len(up):
-            return np.maximum(t[n, m : m + n], 0)
+            break
         ratio = t[up, -1] / t[up, j]
         least = up[ratio <= ratio.min() + 1e-12]
-        i = int(min(least, key=lambda r: basis[r]))
-        t[i] /= t[i, j]
-        others = np.arange(n + 1) != i
-        t[others] -= np.outer(t[others, j], t[i])
-        basis[i] = j
+        i = least[basis[least].argmin()]
+        pivot, column = t[i, j], t[:, j].copy()
+        t[:, j], column[i] = 0, 0
+        t[i, j] = 1
+        t[i] /= pivot
+        touched = np.flatnonzero(column)
+        t[touched] -= np.outer(column[touched], t[i])
+        basis[i], others[j] = others[j], basis[i]
+    x, slack = np.zeros(n), others >= m
+    x[others[slack] - m] = t[n, :-1][slack]
+    return np.maximum(x, 0) / scale
 
 
 def _level_grams(literals: list[list[str]], k: int, extend: set[str] | None, drop_last: bool) -> list[set[str]]:
@@ -57,6 +66,18 @@ def _level_grams(literals: list[list[str]], k: int, extend: set[str] | None, dro
     return [{g for x in lits for i in range(len(x) - k + last) if (g := x[i : i + k]) and (extend is None or g[:-1] in extend)} for lits in literals]
 
 
+def _counts_from(corpus: DataFrame, literals: list[list[str]], k: int) -> dict[str, int]:
+    """The records of the literals' k-grams, and in the same pass those of the next levels' as far as ``STRINGS_A_PASS`` goes."""
+    own = {x for lits in literals for x in lits}
+    strings = substrings_of(own, [k])
+    for longer in range(k + 1, max(map(len, own)) + 1):
+        more = substrings_of(own, [longer])
+        if len(strings) + len(more) > STRINGS_A_PASS:
+            break
+        strings |= more
+    return string_counts(corpus, strings, per_record=True)
+
+
 def _extremes(corpus: DataFrame, k: int, chosen: set[str]) -> tuple[int, int]:
     """Least and greatest number of records of the k-grams of the corpus that extend no chosen gram."""
     df = document_frequency(exploded(corpus, [k]))
@@ -78,13 +99,15 @@ def lpms_keys(corpus: DataFrame, patterns: list[str], rounding: str = "determini
     """
     literals, rng = query_literals(patterns, mode), np.random.default_rng(seed)
     keys: dict[str, int] = {}
+    n_records: dict[str, int] = {}
     extend: set[str] | None = None
     for k in range(1, max((len(x) for lits in literals for x in lits), default=0) + 1):
         of_query = _level_grams(literals, k, extend, drop_last)
         grams = sorted(set().union(*of_query))
         if not grams:
             break
-        n_records = string_counts(corpus, grams, per_record=True)
+        if grams[0] not in n_records:
+            n_records = _counts_from(corpus, literals, k)
         present = [g for g in grams if n_records[g]]
         at = {g: j for j, g in enumerate(present)}
         n_queries = {g: sum(g in own for own in of_query) for g in grams}
@@ -95,7 +118,8 @@ def lpms_keys(corpus: DataFrame, patterns: list[str], rounding: str = "determini
                 rows[q, at[g]] = n_records[g]
             # a gram that no record has asks for nothing
             bounds[q] = min((n_queries[g] if n_records[g] else 0 for g in own), default=0)
-        x = cover(np.array([n_records[g] / k * n_queries[g] for g in present]), rows, bounds)
+        # without the division by k, which all costs have in common, the numbers stay whole when cover scales them
+        x = cover(np.array([float(n_records[g] * n_queries[g]) for g in present]), rows, bounds)
         if rounding == "deterministic":
             least, greatest = _extremes(corpus, k, set(keys)) if scope == "corpus" else (min(map(n_records.get, present), default=0), max(map(n_records.get, present), default=0))
             widest = max(map(len, of_query))

@@ -8,7 +8,7 @@ import pytest
 from gramforge import engine
 from gramforge.functions import regex as rx
 from gramforge.operators import match, postings
-from gramforge.operators.selectors import best, free, lpms, vggraph, vgopt
+from gramforge.operators.selectors import best, common, free, lpms, vggraph, vgopt
 from gramforge.plans import boolean
 
 
@@ -213,6 +213,37 @@ def test_linear_program():
         assert (x >= 0).all() and (a @ x >= b - 1e-7)[helped].all()
 
 
+@pytest.mark.parametrize("seed", [0, 2, 3])
+def test_linear_program_of_counts_of_unlike_sizes(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    has = np.zeros((120, 150))
+    for q in range(120):
+        has[q, rng.zipf(1.3, 12) % 150] = 1
+    n_records = rng.integers(1, 10, 150) * 10.0 ** rng.integers(0, 5, 150)
+    n_queries = has.sum(axis=0)
+    bounds = np.array([n_queries[own > 0].min() for own in has])
+    x = lpms.cover(n_records * n_queries, has * n_records, bounds)
+    # the least cost doesn't depend on the records, as a gram's cost and its use are both in proportion to them
+    least = n_queries @ lpms.cover(n_queries, has, bounds)
+    assert (has * n_records @ x >= bounds - 1e-9).all() and abs((n_records * n_queries) @ x - least) < 1e-6
+
+
+@pytest.mark.parametrize("table, chars", [(1 << 22, 1 << 17), (0, 7)])
+def test_record_counts_of_strings_of_all_lengths(monkeypatch, table, chars):
+    monkeypatch.setattr(common._Trie, "TABLE", table)
+    monkeypatch.setattr(common._Trie, "CHARS", chars)
+    rng = random.Random(4)
+    for alphabet in ("ab", "a\0b", "aé😀b"):
+        texts = ["".join(rng.choice(alphabet + "z") for _ in range(rng.randint(0, 9))) for _ in range(12)]
+        strings = {"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) for _ in range(12)}
+        trie = common._Trie(strings)
+        trie.add(texts)
+        found = {x: n for own, counts in zip(trie.prefixes, trie.counts) for x, n in zip(own, counts[1:])}
+        assert {x: found[x] for x in strings} == {x: sum(x in t for t in texts) for x in strings}
+
+
 @pytest.mark.parametrize("options", [{"rounding": "deterministic"}, {"rounding": "random"}, {"scope": "queries"}, {"drop_last": True}])
 def test_lpms_is_sound(spark, options):
     words = ["an", "York", "Franc", "kane"]
