@@ -251,6 +251,18 @@ def test_lpms_is_sound(spark, options):
     assert {r.pattern: r.match_count for r in index.match(words).collect()} == {"an": sum("an" in w for w in words), "York": 1, "Franc": 1, "kane": 1}
 
 
+def test_lpms_index_goes_through_the_texts_once_for_all_levels(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(lpms, "string_counts", lambda c, strings, per_record: passes.append(set(strings)) or common.string_counts(c, strings, per_record=per_record))
+    words = ["an", "York", "Franc", "kane"]
+    index = engine.build(corpus(spark, words), words, "LPMS", scope="queries")
+    assert {r.pattern: r.match_count for r in index.match(words).collect()} == {"an": sum("an" in w for w in words), "York": 1, "Franc": 1, "kane": 1}
+    assert len(passes) == 1 and {"n", "ork", "Franc"} <= passes[0]
+    few = sorted(index.keys.collect())
+    monkeypatch.setattr(lpms, "STRINGS_A_PASS", 0)
+    assert sorted(engine.build(corpus(spark, words), words, "LPMS", scope="queries").keys.collect()) == few and len(passes) > 2
+
+
 def test_cover_takes_the_cheapest_grams():
     assert vggraph.greedy_cover(["quick", "fox"], {"qu": 1, "ui": 5, "ick": 3, "ox": 2, "fox": 3}) == ["qu", "fox", "ick"]
     assert vggraph.greedy_cover([], {"a": 1}) == [] and vggraph.greedy_cover(["abc"], {}) == []
