@@ -8,14 +8,16 @@ they add records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramforge.functions.grams import exploded
-from gramforge.operators.postings import document_frequency
+from gramforge.operators.selectors.common import key_table
+from gramforge.plans.cut import written
 
 LEAST_JACCARD = 0.1
-MOST_PAIRS = 5_000_000
+MOST_PAIRS = 1_000_000
 
 
 def vertices(corpus: DataFrame, upper_n: int) -> DataFrame:
@@ -23,84 +25,131 @@ def vertices(corpus: DataFrame, upper_n: int) -> DataFrame:
     return exploded(corpus, list(range(1, upper_n + 1)))
 
 
+def gram_sets(rows: DataFrame) -> DataFrame:
+    """``(set_id, grams, known, n)``: the different gram sets of the records of ``rows(gram, rec_id)`` and how many records have each, kept as a table.
+
+    Rows without a ``rec_id`` are one record that isn't ``known``.  A table that
+    this made is returned as it is, so a chain of operators makes it once.
+    """
+    if "grams" in rows.columns:
+        return rows
+    records = rows.groupBy("rec_id").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
+    sets = records.groupBy("grams", F.col("rec_id").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    return written(sets.select(F.monotonically_increasing_id().alias("set_id"), "grams", "known", "n"))
+
+
+def _frequency(sets: DataFrame) -> DataFrame:
+    """``(gram, df)``."""
+    return sets.select("n", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("n").alias("df"))
+
+
 def jaccard_edges(rows: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
     """``(g1, g2, jaccard)``, ``g1 < g2``, of all pairs of grams of ``rows(gram, rec_id)`` with a similarity above ``least``.
 
-    Two sets this similar share a record within the prefix of
-    ``size - ceil(least * size) + 1`` records of either, whatever the common
-    order.  Records with few grams come first in it, so the long records, which
-    would give most pairs, are seldom in a prefix; pairs of unlike sizes are
-    dropped in the join.  Candidates are then verified over all their records.
+    The pairs of each different gram set are counted where they arise, so one
+    row per pair and task is shuffled.  Only tables of one row per gram are
+    built on in a join, by hint: the rows are many more than the size of the
+    texts' files lets Spark expect, and would be broadcast.
     """
-    rows = rows.select("gram", "rec_id").distinct()
-    sized = rows.join(document_frequency(rows), "gram")
-    width = rows.groupBy("rec_id").agg(F.count(F.lit(1)).alias("width"))
-    order = Window.partitionBy("gram").orderBy("width", "rec_id")
-    prefix = sized.join(width, "rec_id").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("df") - F.ceil(F.col("df") * least) + 1)
-    a = prefix.select("rec_id", F.col("gram").alias("g1"), F.col("df").alias("n1"))
-    b = prefix.select("rec_id", F.col("gram").alias("g2"), F.col("df").alias("n2"))
-    similar_size = (F.col("n1") > least * F.col("n2")) & (F.col("n2") > least * F.col("n1"))
-    candidates = a.join(b, "rec_id").filter((F.col("g1") < F.col("g2")) & similar_size).select("g1", "n1", "g2", "n2").distinct()
-    left = candidates.join(rows.withColumnRenamed("gram", "g1"), "g1")
-    both = left.join(rows.withColumnRenamed("gram", "g2"), ["g2", "rec_id"]).groupBy("g1", "g2", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
+    sets = gram_sets(rows)
+    of = sets.filter("known").select("n", "grams", F.posexplode("grams").alias("at", "g1"))
+    pairs = of.select("n", "g1", F.explode(F.slice("grams", F.col("at") + 2, F.size("grams"))).alias("g2"))
+    shared = pairs.groupBy("g1", "g2").agg(F.sum("n").alias("shared"))
+    sizes = _frequency(sets)
+    both = shared.join(sizes.select(F.col("gram").alias("g1"), F.col("df").alias("n1")).hint("shuffle_hash"), "g1").join(sizes.select(F.col("gram").alias("g2"), F.col("df").alias("n2")).hint("shuffle_hash"), "g2")
     return both.select("g1", "g2", (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard")).filter(F.col("jaccard") > least)
 
 
 def centrality(rows: DataFrame, edges: DataFrame, n_records: int) -> DataFrame:
     """``(gram, df, selectivity, degree, centrality)``."""
     degrees = edges.select(F.explode(F.array("g1", "g2")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = document_frequency(rows).join(degrees, "gram", "left").select("gram", "df", (F.col("df") / F.lit(float(n_records))).alias("selectivity"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    nodes = _frequency(gram_sets(rows)).join(degrees.hint("shuffle_hash"), "gram", "left").select("gram", "df", (F.col("df") / F.lit(float(n_records))).alias("selectivity"), F.coalesce("degree", F.lit(0)).alias("degree"))
     return nodes.withColumn("centrality", F.col("degree") * (1 - F.col("selectivity")))
 
 
+def _in_order(left: DataFrame, least: int) -> list[tuple[str, int, int]]:
+    """``(gram, df, adds)`` of the grams of few ``(set_id, n, ranks)`` that add ``least`` records, gone through in order on the driver."""
+    rows = left.select("set_id", "n", F.explode("ranks").alias("r")).select("set_id", "n", "r.before", "r.gram", "r.df").toArrow().sort_by([("before", "ascending"), ("gram", "ascending")])
+    grams, df, n = rows["gram"].to_pylist(), rows["df"].to_numpy(), rows["n"].to_numpy()
+    ids = np.unique(rows["set_id"].to_numpy(), return_inverse=True)[1]
+    starts = [i for i in range(len(grams)) if not i or grams[i] != grams[i - 1]]
+    done, taken = np.zeros(len(grams), bool), []
+    for start, end in zip(starts, [*starts[1:], len(grams)]):
+        own = ids[start:end]
+        adds = int(n[start:end][~done[own]].sum())
+        if adds >= least:
+            done[own] = True
+            taken.append((grams[start], int(df[start]), adds))
+    return taken
+
+
+def _late(tail: DataFrame, least: int):
+    """``(gram, df, adds)`` in order of the grams of ``tail(set_id, n, ranks)`` that add ``least`` records to those taken before.
+
+    A gram is taken for certain if it is the first undecided one of so many
+    records, left out if only fewer hold it.  Each round decides all such grams
+    (the first of all is one) and drops them; of a record that one of them
+    covers, the undecided grams before that one stay.  What is left is finished on the driver when it has at most ``MOST_PAIRS``
+    rows; the keys are the same whenever that is.
+    """
+    spark, left, chosen = tail.sparkSession, tail, []
+    while (left.agg(F.sum(F.size("ranks"))).first()[0] or 0) > MOST_PAIRS:
+        held = left.select("set_id", "n", F.posexplode("ranks").alias("at", "r")).withColumn("gram", F.col("r.gram"))
+        sure, holds = F.sum(F.when(F.col("at") == 0, F.col("n"))) >= least, F.sum("n") >= least
+        decided = written(held.groupBy("gram").agg(F.coalesce(sure, F.lit(False)).alias("sure"), holds.alias("may")))
+        chosen.append(decided.filter("sure").select("gram"))
+        ranks = F.sort_array(F.collect_set(F.when(F.col("may"), F.col("r")))).alias("ranks")
+        left = held.join(decided.hint("shuffle_hash"), "gram").groupBy("set_id", "n").agg(ranks, F.min(F.when(F.col("sure"), F.col("r"))).alias("covered"))
+        open_ranks = F.filter("ranks", lambda r: F.col("covered").isNull() | (r < F.col("covered")))
+        left = written(left.select("set_id", "n", open_ranks.alias("ranks")).filter(F.size("ranks") > 0))
+    rest = _in_order(left, least)
+    if not chosen:
+        yield from rest
+        return
+    keys = spark.createDataFrame([(g,) for g, _, _ in rest], "gram string")
+    for more in chosen:
+        keys = keys.union(more)
+    held = tail.select("set_id", "n", F.explode("ranks").alias("rank")).withColumn("gram", F.col("rank.gram"))
+    first = held.join(keys.hint("shuffle_hash"), "gram", "left_semi").groupBy("set_id", "n").agg(F.min("rank").alias("rank"))
+    for r in first.groupBy("rank").agg(F.sum("n").alias("adds")).orderBy("rank").toLocalIterator():
+        yield r["rank"].gram, r["rank"].df, r.adds
+
+
 def covering_keys(rows: DataFrame, nodes: DataFrame, n_records: int, c: float, most: int | None = None, enough: float = 0.9, late_after: int = 100) -> DataFrame:
     """``(gram, df)``: grams with selectivity up to ``c``, by ``centrality / (selectivity + 1e-10)`` descending (ties by gram), that add a record not yet covered.
 
     A gram adds one exactly if it is the first of some record's grams, so one
     aggregation over the records finds all keys and what each adds.  After
-    ``late_after`` keys a gram has to add two; that depends on the grams left
-    out before it, so this tail is gone through in order on the driver, for up
-    to ``MOST_PAIRS`` rows of postings of the tail (beyond them one record is
-    enough).  It ends when ``enough`` of the records or ``most`` keys are reached.
+    ``late_after`` keys a gram has to add two, whatever the size of the input;
+    that depends on the grams left out before it (see ``_late``).  It ends when
+    ``enough`` of the records or ``most`` keys are reached.
     """
     score = F.col("centrality") / (F.col("selectivity") + 1e-10)
-    ranked = nodes.filter(F.col("selectivity") <= c).select("gram", "df", F.struct((-score).alias("before"), "gram").alias("rank"))
-    held = rows.select("gram", "rec_id").distinct().join(ranked, "gram")
-    first = held.groupBy("rec_id").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("adds"))
+    ranked = nodes.filter(F.col("selectivity") <= c).select("gram", F.struct((-score).alias("before"), "gram", "df").alias("rank"))
+    held = gram_sets(rows).select("set_id", "n", F.explode("grams").alias("gram")).join(ranked.hint("shuffle_hash"), "gram")
+    sets = written(held.groupBy("set_id", "n").agg(F.sort_array(F.collect_set("rank")).alias("ranks")))
+    first = sets.groupBy(F.col("ranks")[0].alias("rank")).agg(F.sum("n").alias("adds"))
     head = first.orderBy("rank").limit(late_after).collect()
-    taken, covered = [], 0
+    taken: dict[str, int] = {}
+    covered = 0
+
+    def ended() -> bool:
+        return covered >= enough * n_records or (most is not None and len(taken) >= most)
+
     for r in head:
-        if covered >= enough * n_records or (most is not None and len(taken) >= most):
+        if ended():
             break
-        taken.append(tuple(r["rank"]))
-        covered += r["adds"]
-    if len(taken) == late_after and covered < enough * n_records and (most is None or len(taken) < most):
-        last = F.struct(F.lit(taken[-1][0]).alias("before"), F.lit(taken[-1][1]).alias("gram"))
-        spark = rows.sparkSession
-        seen = held.join(spark.createDataFrame([(g,) for _, g in taken], "gram string"), "gram", "left_semi").select("rec_id").distinct()
-        tail = held.filter(F.col("rank") > last).join(seen, "rec_id", "left_anti").select("rank", "rec_id")
-        least = 2 if tail.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS else 1
-        if least == 1:
-            for r in first.filter(F.col("rank") > last).orderBy("rank").toLocalIterator():
-                if covered >= enough * n_records or (most is not None and len(taken) >= most):
-                    break
-                taken.append(tuple(r["rank"]))
-                covered += r["adds"]
-        else:
-            of: dict[int, set] = {}
-            for r in tail.toLocalIterator():
-                of.setdefault(tuple(r["rank"]), set()).add(r.rec_id)
-            done: set = set()
-            for at in sorted(of):
-                if covered >= enough * n_records or (most is not None and len(taken) >= most):
-                    break
-                new = of[at] - done
-                if len(new) >= least:
-                    taken.append(at)
-                    done |= new
-                    covered += len(new)
-    keys = rows.sparkSession.createDataFrame([(g,) for _, g in taken], "gram string")
-    return ranked.join(keys, "gram", "left_semi").select("gram", "df")
+        taken[r["rank"].gram] = r["rank"].df
+        covered += r.adds
+    if len(taken) == late_after and not ended():
+        # records with a gram up to the last key are covered: the first of their grams is a key
+        last = F.struct(F.lit(head[-1]["rank"].before).alias("before"), F.lit(head[-1]["rank"].gram).alias("gram"), F.lit(head[-1]["rank"].df).alias("df")) if head else None
+        for gram, df, adds in _late(sets if last is None else sets.filter(F.col("ranks")[0] > last), 2):
+            taken[gram] = df
+            covered += adds
+            if ended():
+                break
+    return key_table(rows.sparkSession, taken)
 
 
 def coverage(rows: DataFrame, keys: DataFrame, n_records: int) -> float:
@@ -110,5 +159,5 @@ def coverage(rows: DataFrame, keys: DataFrame, n_records: int) -> float:
 
 def vgopt_keys(corpus: DataFrame, c: float = 0.1, upper_n: int = 2, most: int | None = None) -> DataFrame:
     """``(gram, df)`` of the whole chain."""
-    rows, n = vertices(corpus, upper_n), corpus.count()
-    return covering_keys(rows, centrality(rows, jaccard_edges(rows), n), n, c, most)
+    sets, n = gram_sets(vertices(corpus, upper_n)), corpus.count()
+    return covering_keys(sets, centrality(sets, jaccard_edges(sets), n), n, c, most)

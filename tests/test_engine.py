@@ -307,6 +307,36 @@ def test_graph_edges_and_coverage_against_brute_force(spark):
     assert vgopt.coverage(rows, found, len(texts)) > 0
 
 
+def _sequential_keys(sets, nodes, n, c, late, enough=0.9):
+    order = sorted((x for x in nodes if x.selectivity <= c), key=lambda x: (-x.centrality / (x.selectivity + 1e-10), x.gram))
+    covered, chosen = set(), set()
+    for x in order:
+        if len(covered) >= enough * n:
+            break
+        new = sets[x.gram] - covered
+        if len(new) >= (1 if len(chosen) < late else 2):
+            chosen.add(x.gram)
+            covered |= new
+    return chosen
+
+
+@pytest.mark.parametrize("pairs", [0, 20, 1_000_000])
+def test_late_keys_add_two_records_whatever_the_size(spark, monkeypatch, pairs):
+    monkeypatch.setattr(vgopt, "MOST_PAIRS", pairs)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    rows = vgopt.vertices(corpus(spark, texts), 2)
+    sets = {}
+    for r in rows.collect():
+        sets.setdefault(r.gram, set()).add(r.rec_id)
+    nodes = vgopt.centrality(rows, vgopt.jaccard_edges(rows), len(texts))
+    found = vgopt.covering_keys(rows, nodes, len(texts), 0.1, enough=1.0, late_after=2)
+    expected = _sequential_keys(sets, nodes.collect(), len(texts), 0.1, 2, 1.0)
+    assert grams(found) == expected and {r.gram: r.df for r in found.collect()} == {g: len(sets[g]) for g in expected}
+    # with one record enough, other keys are chosen
+    assert expected != _sequential_keys(sets, nodes.collect(), len(texts), 0.1, 1000, 1.0)
+
+
 def test_list_operations(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 70000), ("b", 2), ("b", 3)], "gram string, rec_id long")
     ids = lambda df: sorted(r.rec_id for r in df.collect())
