@@ -10,6 +10,7 @@ from gramforge.functions import regex as rx
 from gramforge.operators import match, postings
 from gramforge.operators.selectors import best, common, free, lpms, vggraph, vgopt
 from gramforge.plans import boolean
+from gramforge.plans.cut import written
 
 
 def corpus(spark, texts):
@@ -337,6 +338,30 @@ def test_late_keys_add_two_records_whatever_the_size(spark, monkeypatch, pairs):
     assert expected != _sequential_keys(sets, nodes.collect(), len(texts), 0.1, 1000, 1.0)
 
 
+@pytest.fixture
+def small_file(spark, tmp_path):
+    """A file that is far smaller than its grams; the limit of broadcasts lies between them."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(300)]
+    corpus(spark, texts).coalesce(1).write.parquet(str(tmp_path / "texts"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    yield spark.read.parquet(str(tmp_path / "texts")), len(texts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graph_keys_broadcast_nothing(small_file, monkeypatch):
+    plans, covering = [], vgopt.covering_keys
+    monkeypatch.setattr(vgopt, "written", lambda df: plans.append(_plan(df)) or written(df), raising=False)
+    monkeypatch.setattr(vgopt, "covering_keys", lambda rows, nodes, *more: plans.append(_plan(nodes)) or covering(rows, nodes, *more))
+    plans.append(_plan(vgopt.vgopt_keys(small_file[0], 0.3, 2)))
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_list_operations(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 70000), ("b", 2), ("b", 3)], "gram string, rec_id long")
     ids = lambda df: sorted(r.rec_id for r in df.collect())
