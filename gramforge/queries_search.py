@@ -278,8 +278,8 @@ def jaccard_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_centrality(spark: SparkSession, d: str) -> DataFrame:
-    rows, n = vgopt.vertices(_parts(spark, d), 2), _parts(spark, d).count()
-    found = vgopt.centrality(rows, vgopt.jaccard_edges(rows), n)
+    sets, n = vgopt.gram_sets(vgopt.vertices(_parts(spark, d), 2)), _parts(spark, d).count()
+    found = vgopt.centrality(sets, vgopt.jaccard_edges(sets), n)
     return found.select("gram", "df", "degree", *(F.round(c, 9).alias(c) for c in ("selectivity", "centrality")))
 
 

@@ -362,6 +362,15 @@ def test_graph_keys_broadcast_nothing(small_file, monkeypatch):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_centrality_broadcasts_nothing_and_counts_a_record_once(spark, small_file):
+    texts, n = small_file
+    rows = vgopt.vertices(texts, 2)
+    nodes = vgopt.centrality(rows, vgopt.jaccard_edges(rows), n)
+    assert "Broadcast" not in _plan(nodes)
+    twice = rows.union(rows)
+    assert sorted(vgopt.centrality(twice, vgopt.jaccard_edges(twice), n).collect()) == sorted(nodes.collect())
+
+
 def test_list_operations(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 70000), ("b", 2), ("b", 3)], "gram string, rec_id long")
     ids = lambda df: sorted(r.rec_id for r in df.collect())
