@@ -371,6 +371,13 @@ def test_centrality_broadcasts_nothing_and_counts_a_record_once(spark, small_fil
     assert sorted(vgopt.centrality(twice, vgopt.jaccard_edges(twice), n).collect()) == sorted(nodes.collect())
 
 
+def test_edges_broadcast_nothing_and_take_records_without_id(spark, small_file):
+    assert "Broadcast" not in _plan(vgopt.jaccard_edges(vgopt.vertices(small_file[0], 2)))
+    # a record without id has grams but shares none
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("a", 1), ("b", 2), ("a", None), ("b", None)], "gram string, rec_id long")
+    assert [tuple(r) for r in vgopt.jaccard_edges(rows).collect()] == [("a", "b", 1 / 4)]
+
+
 def test_list_operations(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 70000), ("b", 2), ("b", 3)], "gram string, rec_id long")
     ids = lambda df: sorted(r.rec_id for r in df.collect())
